@@ -23,8 +23,9 @@ CHILD_TRIM = (5, 95)  # fixed value: percentiles kept below the root
 
 @dataclass
 class Features:
-    """Vocabulary and per-item terms, written once and read by every fit and score."""
+    """Tokens, vocabulary and per-item known terms, written once, read by every fit and score."""
 
+    tokens: DataFrame
     vocabulary: DataFrame
     size: int
     terms: DataFrame
@@ -47,7 +48,7 @@ def build_features(
     known = tokenised.where(F.col(train_on)) if train_on else tokenised
     vocab = materialize(gram_vocabulary(known, "terms", limits), "vocabulary")
     terms = materialize(item_terms(tokenised, "terms", vocab, keep), "item-terms")
-    return Features(vocab, vocab.count(), terms)
+    return Features(tokenised, vocab, vocab.count(), terms)
 
 
 def new_item_terms(items: DataFrame, features: Features, **options) -> DataFrame:

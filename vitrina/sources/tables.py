@@ -58,3 +58,38 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("cat_1"),
         F.col("o_totalprice").alias("price"),
     )
+
+
+def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under a small hierarchy: language, language/quality, language/quality/toxicity."""
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    quality = F.coalesce(F.col("quality").cast("string"), F.lit("u"))
+    toxic = F.coalesce(F.col("toxic").cast("string"), F.lit("u"))
+    return documents.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("item_id"),
+        F.col("text").alias("title"),
+        F.col("lang").alias("cat_0"),
+        F.concat_ws("/", F.col("lang"), quality).alias("cat_1"),
+        F.concat_ws("/", F.col("lang"), quality, toxic).alias("cat_2"),
+        F.col("n_chars").cast("double").alias("price"),
+    )
+
+
+def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as new items without category or price."""
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("item_id"), F.col("text").alias("title")
+    )
+
+
+def all_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the tables: part titles, documents and raw pages."""
+    parts = part_items(spark, sf_dir).select(F.lit("part").alias("kind"), "item_id", "title")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), F.col("text").alias("title")
+    )
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(
+        F.lit("page").alias("kind"), F.col("page_id").alias("item_id"), F.col("html").alias("title")
+    )
+    return parts.unionByName(documents).unionByName(pages)
