@@ -126,7 +126,13 @@ def fit_bayes(
         ).join(table.select("parent", "class", "model", "label", "items"), ["parent", "class"])
         located_paths = located_paths.select("path", "model", "label", "items")
         counts = (
-            lookup_join(cells.select("path", "index", F.col(u).alias("c")), located_paths, ["path"])
+            lookup_join(
+                cells.where(F.col(u) > 0).select("path", "index", F.col(u).alias("c")),
+                located_paths,
+                ["path"],
+            )
+            # One distribution for both aggregations; a key has at most one row per category.
+            .repartition("model", "index")
             .groupBy("model", "label", "index")
             .agg(F.sum("c").alias("seen"), F.first("items").alias("items"))
             .where(seen > 0)
@@ -226,6 +232,7 @@ def predict(
     parent: Column | None = None,
     carry: Sequence[str] = (),
     item_id: str = "item_id",
+    by_item: bool = False,
     max_cells: int = MAX_BROADCAST_CELLS,
 ) -> DataFrame:
     """Predicted class of every item at one level.
@@ -234,8 +241,8 @@ def predict(
     model if not given). The result has the item id, the ``carry`` columns, ``prediction``, ``label``
     and ``score``; an item whose parent has no model gets nulls.
 
-    The terms are distributed by item id once; with broadcast weights both aggregations below reuse
-    that distribution.
+    The terms are distributed by item id once (not again if ``by_item`` says that they are); with
+    broadcast weights both aggregations below reuse that distribution.
     """
     carry = list(carry)
     weights = model.weights.where(F.col("level") == level)
@@ -244,20 +251,20 @@ def predict(
         known = F.size(terms).cast("double")
     else:
         known = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["tf"])
+    lists = class_lists(model, level)
     items = lookup_join(
         features.select(
             item_id, *carry, (parent if parent is not None else F.lit(ROOT)).alias("parent"),
             known.alias("_m"), "terms",
         ),
-        class_lists(model, level),
+        lists.select("parent", "model"),
         ["parent"],
         how="left",
         salt_on=[item_id],
     )
+    tokens = items.select(item_id, "model", "terms").where(F.col("model").isNotNull())
     tokens = (
-        items.select(item_id, "model", "terms")
-        .where(F.col("model").isNotNull())
-        .repartition(item_id)
+        (tokens if by_item else tokens.repartition(item_id))
         .select(item_id, "model", F.explode_outer("terms").alias("_t"))
         .select(item_id, "model", F.col("_t.index").alias("index"), F.col("_t.tf").alias("tf"))
         .where(F.col("index").isNotNull())
@@ -293,7 +300,12 @@ def predict(
         F.transform("_gains", lambda g: candidate(F.get(F.col("_list"), g["label"]), g["gain"]))
     )
     best = F.greatest(without_gain, with_gain)
-    listed = items.select(item_id, *carry, "_m", "_list").join(gains, item_id, "left")
+    summed = items.select(item_id, *carry, "model", "_m").join(gains, item_id, "left")
+    # Class lists join last, so that no shuffle repeats them per item.
+    listed = lookup_join(
+        summed, lists.select("model", "_list"), ["model"], how="left", salt_on=[item_id],
+        size=F.size("_list"),
+    )
     return listed.select(item_id, *carry, best.alias("_best")).select(
         item_id,
         *carry,

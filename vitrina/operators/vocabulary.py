@@ -9,9 +9,11 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrina.functions.tokens import explode_rows, gram_size, term_runs
-from vitrina.operators.lookup import lookup_join
+from vitrina.operators.lookup import MAX_BROADCAST_ROWS, fits_broadcast, lookup_join
+from vitrina.session import materialize
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,14 @@ class Limits:
 # Limits for words, 2-grams and 3-grams.
 GRAM_LIMITS = {1: Limits(60_000, 100), 2: Limits(30_000, 50), 3: Limits(30_000, 50)}
 
+# How a sparse vector is stored.
+SPARSE = T.StructType(
+    [
+        T.StructField("indices", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
+
 
 def term_counts(items: DataFrame, terms: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """Per group and term: occurrences ``n`` and items ``df``.
@@ -127,30 +137,66 @@ def count_vectors(
 
 
 def item_terms(
-    items: DataFrame, terms: str, vocab: DataFrame, keep: Sequence[str], item_id: str = "item_id"
+    items: DataFrame,
+    terms: str | Column,
+    vocab: DataFrame,
+    keep: Sequence[str],
+    item_id: str = "item_id",
+    max_terms: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per item: the ``keep`` columns and ``terms array<struct<index, tf>>`` in vocabulary.
 
-    This is the table that training and scoring read. Items without a known term keep an empty
-    array.
+    This is the written table that training and scoring read. Items without a known term keep an
+    empty array. A vocabulary of at most ``max_terms`` terms is broadcast inside an ML vectorizer and
+    nothing is shuffled; a larger one is joined.
     """
-    exploded = items.select(
-        item_id, *keep, F.explode_outer(term_runs(terms)).alias("_run")
-    ).select(item_id, *keep, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf"))
-    known = lookup_join(
-        exploded, vocab.select("term", "index", "df"), ["term"], how="left", frequency="df"
+    counted = items.select(item_id, *keep, (F.col(terms) if isinstance(terms, str) else terms).alias("_terms"))
+    if fits_broadcast(vocab, max_terms):
+        vectors = to_vectorizer(vocab, "_terms", "_vector", binary=False).transform(counted)
+        vectors = vectors.drop("_terms")
+        # A written vector is a struct; its two arrays can be read without the vector type.
+        plain = [f if f.name != "_vector" else T.StructField("_vector", SPARSE) for f in vectors.schema]
+        rows = materialize(vectors, "item-terms", read_as=T.StructType(plain))
+        pairs = F.zip_with(
+            "_vector.indices",
+            "_vector.values",
+            lambda i, v: F.struct(i.alias("index"), v.cast("bigint").alias("tf")),
+        )
+        return rows.select(item_id, *keep, pairs.alias("terms"))
+    exploded = counted.select(
+        item_id, F.explode_outer(term_runs("_terms")).alias("_run")
+    ).select(item_id, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf"))
+    known = (
+        lookup_join(
+            exploded.where(F.col("term").isNotNull()),
+            vocab.select("term", "index", "df"),
+            ["term"],
+            frequency="df",
+            max_rows=max_terms,
+        )
+        .groupBy(item_id)
+        .agg(F.collect_list(F.struct("index", "tf")).alias("terms"))
     )
-    pair = F.when(F.col("index").isNotNull(), F.struct("index", "tf"))
-    return known.groupBy(item_id).agg(
-        *[F.first(c).alias(c) for c in keep], F.collect_list(pair).alias("terms")
+    empty = F.array().cast("array<struct<index:int,tf:bigint>>")
+    joined = counted.select(item_id, *keep).join(known, item_id, "left")
+    return materialize(
+        joined.withColumn("terms", F.coalesce("terms", empty)), "item-terms"
     )
 
 
 def to_vectorizer(
     vocab: DataFrame, input_col: str, output_col: str, binary: bool = True
 ) -> CountVectorizerModel:
-    """An ML transformer over the vocabulary; the vocabulary is bounded by its size parameter."""
+    """An ML transformer over the vocabulary; the vocabulary is bounded by its size parameter.
+
+    The terms go to the JVM as one text: ``from_vocabulary`` would send them one by one. No term
+    holds a line break.
+    """
     terms = [row.term for row in vocab.orderBy("index").select("term").collect()]
-    return CountVectorizerModel.from_vocabulary(
-        terms, inputCol=input_col, outputCol=output_col
-    ).setBinary(binary)
+    utils = vocab.sparkSession.sparkContext._jvm.org.apache.commons.lang3.StringUtils
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel",
+        utils.splitPreserveAllTokens("\n".join(terms), "\n"),
+    )
+    model._set(vocabSize=max(len(terms), 1))
+    return model.setInputCol(input_col).setOutputCol(output_col).setBinary(binary)

@@ -14,7 +14,7 @@ from vitrina.operators.lookup import lookup_join
 from vitrina.operators.price import percentiles, with_bounds
 from vitrina.operators.split import in_train
 from vitrina.operators.vocabulary import Limits, gram_vocabulary, item_terms
-from vitrina.plans.preprocess import with_terms
+from vitrina.plans.preprocess import terms_of, with_terms, with_words
 from vitrina.session import materialize
 
 LEVELS = ("cat_0", "cat_1", "cat_2")
@@ -23,7 +23,11 @@ CHILD_TRIM = (5, 95)  # fixed value: percentiles kept below the root
 
 @dataclass
 class Features:
-    """Tokens, vocabulary and per-item known terms, written once, read by every fit and score."""
+    """Terms, vocabulary and per-item known terms, read by every fit and score.
+
+    Words, vocabulary and known terms are written tables; ``tokens`` derives the terms of each item
+    from its words, so n-grams are never stored.
+    """
 
     tokens: DataFrame
     vocabulary: DataFrame
@@ -42,19 +46,20 @@ def build_features(
     """Vocabulary and item terms. ``train_on`` names a boolean column: the vocabulary then comes
     from those items only."""
     limits = limits or {1: Limits(60_000, 5)}
-    tokenised = with_terms(items, tuple(limits), stop_words, version=version)
-    # The text rules cost most; the tokens are written once for the two passes that follow.
-    tokenised = materialize(tokenised.select("item_id", *keep, "terms"), "tokens")
-    known = tokenised.where(F.col(train_on)) if train_on else tokenised
+    words = with_words(items, version=version).select("item_id", *keep, "words")
+    # The text rules cost most; their result is written once for the two passes that follow.
+    words = materialize(words, "words")
+    terms = terms_of("words", tuple(limits), stop_words)
+    tokens = words.select("item_id", *keep, terms.alias("terms"))
+    known = tokens.where(F.col(train_on)) if train_on else tokens
     vocab = materialize(gram_vocabulary(known, "terms", limits), "vocabulary")
-    terms = materialize(item_terms(tokenised, "terms", vocab, keep), "item-terms")
-    return Features(tokenised, vocab, vocab.count(), terms)
+    return Features(tokens, vocab, vocab.count(), item_terms(tokens, "terms", vocab, keep))
 
 
 def new_item_terms(items: DataFrame, features: Features, **options) -> DataFrame:
     """Terms of items that have neither category nor price, under a fitted vocabulary."""
-    tokenised = with_terms(items.select("item_id", "title"), **options)
-    return item_terms(tokenised, "terms", features.vocabulary, [])
+    tokens = with_terms(items.select("item_id", "title"), **options)
+    return item_terms(tokens, "terms", features.vocabulary, [])
 
 
 def mark_trimmed(
@@ -133,7 +138,7 @@ def cascade(
     done: list[str] = []
     for depth, level in enumerate(levels):
         parent = F.coalesce(F.col(done[-1]), F.lit(ROOT)) if depth else None
-        found = predict(table, model, level, parent, carry=done)
+        found = predict(table, model, level, parent, carry=done, by_item=depth > 0)
         name = f"predicted_{level}"
         found = found.select("item_id", *done, F.col("prediction").alias(name))
         done.append(name)

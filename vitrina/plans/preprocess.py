@@ -13,7 +13,7 @@ from pyspark.ml.feature import (
     StopWordsRemover,
     VectorAssembler,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.normalize import normalize_title
@@ -30,27 +30,34 @@ def with_words(
     return items.withColumn(words, regex_tokens(text))
 
 
-def with_terms(
-    items: DataFrame,
+def terms_of(
+    words: str,
     grams: Sequence[int] = (1,),
     stop_words: Sequence[str] | None = None,
     ngram_source: str = "raw",
-    version: str | None = "v4",
-    drop_title: bool = True,
-) -> DataFrame:
-    """Attach ``terms``: words without stop words, plus n-grams.
+) -> Column:
+    """Words without stop words, plus n-grams, as one array.
 
     ``ngram_source="raw"`` builds n-grams from all words, ``"filtered"`` from the words that remain
     after the stop list.
     """
     listed = listing_stop_words() if stop_words is None else list(stop_words)
+    kept = without_stop_words(words, listed) if listed else F.col(words)
+    source = {"raw": F.col(words), "filtered": kept}[ngram_source]
+    return F.concat(*[kept if n == 1 else ngrams(source, n) for n in grams])
+
+
+def with_terms(
+    items: DataFrame,
+    grams: Sequence[int] = (1,),
+    stop_words: Sequence[str] | None = None,
+    ngram_source: str = "raw",
+    version: str | None = "v4",
+) -> DataFrame:
+    """Replace the title by its ``terms``."""
     df = with_words(items, version=version)
-    kept = without_stop_words("words", listed) if listed else F.col("words")
-    df = df.withColumn("filtered", kept)
-    source = {"raw": "words", "filtered": "filtered"}[ngram_source]
-    parts = [F.col("filtered") if n == 1 else ngrams(source, n) for n in grams]
-    df = df.withColumn("terms", F.concat(*parts)).drop("words", "filtered")
-    return df.drop("title") if drop_title else df
+    terms = terms_of("words", grams, stop_words, ngram_source)
+    return df.withColumn("terms", terms).drop("words", "title")
 
 
 def preprocessing_stages(

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: str = "8", app: str = "vitrina", **conf: str) -> SparkSession:
@@ -51,11 +52,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/vitrina/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame,
+    name: str,
+    partition_by: list[str] | None = None,
+    read_as: StructType | None = None,
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors, keeps column pruning and filter pushdown
-    for the readers, and gives the planner the real size of the table.
+    for the readers, and gives the planner the real size of the table. ``read_as`` replaces the
+    schema it is read with.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -63,4 +70,4 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(read_as or df.schema).parquet(path)
