@@ -471,6 +471,40 @@ def _holdout_query(target: str, parent: str | None, trim: bool) -> str:
     )
 
 
+def _category_ctes() -> list[str]:
+    return [
+        DOC_ITEMS,
+        words_cte("doc_items"),
+        terms_cte((1,), stop=False),
+        """best AS (
+  SELECT *, row_number() OVER (ORDER BY cat_0, place) - 1 AS index FROM (
+    SELECT *, row_number() OVER (PARTITION BY cat_0 ORDER BY n DESC, term) AS place FROM (
+      SELECT cat_0, term, sum(tf)::BIGINT AS n, count(*) AS df
+      FROM terms JOIN words USING (item_id) GROUP BY ALL)) WHERE place <= 2000)""",
+    ]
+
+
+def _cellphones_query(plain: str, english: list[str]) -> str:
+    filtered = without(plain, english)
+    limits = {1: (1000, 20), 2: (1000, 20)}
+    return with_ctes(
+        DOC_ITEMS,
+        percentile_cte("p", "doc_items", ["cat_1"], (10, 90)),
+        "words AS MATERIALIZED (SELECT i.item_id, i.cat_1, "
+        f"{filtered} AS words FROM doc_items i JOIN p ON i.cat_1 = p.cat_1 "
+        "WHERE i.price BETWEEN p.p10 AND p.p90)",
+        terms_cte(limits, stop=False),
+        vocab_cte(limits),
+        KNOWN,
+        SAME_ITEMS,
+        *model_ctes("0", "words", "''", "cat_1"),
+        "root_items AS (SELECT item_id, '' AS parent FROM words)",
+        *score_ctes("0", "root_items"),
+        select="SELECT w.item_id, w.cat_1, prediction, label, score FROM words w "
+        "JOIN pred0 USING (item_id)",
+    )
+
+
 def _chi_square_query() -> str:
     """Full 2 x K tables: observed against expected, present and absent."""
     return with_ctes(
@@ -534,6 +568,11 @@ def oracle_sql() -> dict[str, str]:
         "ngrams_1": _token_query(grams(1)),
         "ngrams_2": _token_query(grams(2)),
         "ngrams_3": _token_query(grams(3)),
+        "ngrams_filtered": with_ctes(
+            DOC_ITEMS,
+            f"words AS (SELECT item_id, {without(plain, english)} AS words FROM doc_items)",
+            select=f"SELECT item_id, array_to_string({grams(2)}, '|') AS tokens FROM words",
+        ),
         "vocab_words": _vocab_query(1),
         "vocab_2gram": _vocab_query(2),
         "vocab_3gram": _vocab_query(3),
@@ -542,14 +581,12 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT gram, count(*) AS terms FROM vocab GROUP BY ROLLUP (gram)",
         ),
         "vocab_per_category": with_ctes(
-            DOC_ITEMS, words_cte("doc_items"), terms_cte((1,), stop=False),
-            """best AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY cat_0 ORDER BY n DESC, term) AS place FROM (
-    SELECT cat_0, term, sum(tf)::BIGINT AS n, count(*) AS df
-    FROM terms JOIN words USING (item_id) GROUP BY ALL)) WHERE place <= 2000)""",
-            select="SELECT cat_0, row_number() OVER (ORDER BY cat_0, place) - 1 AS index, term, n, df "
-            "FROM best",
-        ),
+            *_category_ctes(), select="SELECT cat_0, index, term, n, df FROM best"
+        ),
+        "vector_per_category": with_ctes(
+            *_category_ctes(),
+            select="SELECT item_id, index, 1.0::DOUBLE AS value FROM terms JOIN best USING (term)",
+        ),
         "count_vector": with_ctes(
             *pipeline(DOC_ITEMS, "doc_items", {1: (60_000, 100)}),
             select="SELECT item_id, index, tf::DOUBLE AS value FROM known",
@@ -609,6 +646,7 @@ def oracle_sql() -> dict[str, str]:
                 for c in CATS
             ),
         ),
+        "distinct_category": with_ctes(PART_ITEMS, select="SELECT DISTINCT cat_2 FROM part_items"),
         "distinct_pairs": with_ctes(
             PART_ITEMS, select="SELECT DISTINCT cat_0, cat_1 FROM part_items"
         ),
@@ -691,6 +729,7 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT w.item_id, w.cat_1, w.cat_2, prediction, label, score "
             "FROM words w LEFT JOIN pred2 USING (item_id)",
         ),
+        "nb_cellphones": _cellphones_query(plain, english),
         "accuracy_total": with_ctes(
             *flat_ctes(), select=f"SELECT {EVALUATED} FROM words JOIN pred0 USING (item_id)"
         ),

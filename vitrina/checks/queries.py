@@ -145,6 +145,14 @@ def ngrams_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(with_words(_documents(spark, sf_dir)), ngrams("words", 3))
 
 
+@query
+def ngrams_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2-grams of the words left by the English list, split at each whitespace character."""
+    words = with_words(_documents(spark, sf_dir), version=None, plain=True)
+    kept = without_stop_words("words", language_stop_words("english"))
+    return _joined(words, ngrams(kept, 2))
+
+
 # Vocabularies and vectors
 
 
@@ -174,6 +182,14 @@ def vocab_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_vocabulary(terms, "terms", "cat_0", 2000)
 
 
+@query
+def vector_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item under the vocabularies of all categories, side by side."""
+    terms = with_terms(_documents(spark, sf_dir), (1,), stop_words=[])
+    vocab = materialize(category_vocabulary(terms, "terms", "cat_0", 2000), "vocabulary")
+    return count_vectors(terms, "terms", vocab, binary=True, repeated=True)
+
+
 @query
 def count_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = with_terms(_documents(spark, sf_dir), (1,))
@@ -268,6 +284,11 @@ def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_counts(tb.part_items(spark, sf_dir), CATS)
 
 
+@query
+def distinct_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_keys(tb.part_items(spark, sf_dir), "cat_2")
+
+
 @query
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_keys(tb.part_items(spark, sf_dir), "cat_0", "cat_1")
@@ -449,6 +470,17 @@ def nb_hier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Evaluation
 
 
+@query
+def nb_cellphones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trim each category, English list, 2-grams of the filtered words, small vocabularies."""
+    items = trim_by_percentile(_documents(spark, sf_dir), 10, 90, ["cat_1"])
+    limits = {1: Limits(1000, 20), 2: Limits(1000, 20)}
+    features = cl.build_features(
+        items, ["cat_1"], limits, language_stop_words("english"), "filtered", None, plain=True
+    )
+    return cl.classify(features.terms, cl.fit_flat(features, "cat_1"), "cat_1", ["cat_1"])
+
+
 @query
 def accuracy_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy(nb_predict(spark, sf_dir), "cat_0")
@@ -655,6 +687,17 @@ def evaluator_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy(predicted, "cat_0", "category").withColumn("evaluator", F.lit(value))
 
 
+@query
+def logreg_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One logistic regression per language over trimmed rows, each with its own label index."""
+    rows = _vectors(spark, sf_dir, tb.labelled_items(spark, sf_dir))
+    rows = materialize(rows.drop("title"), "vectors")
+    models = ln.fit_per_group(
+        rows, "cat_0", "cat_1", lambda: ln.logistic_regression(maxIter=10, regParam=0.01)
+    )
+    return models.transform(rows).select("item_id", "cat_0", "cat_1", "category")
+
+
 @query
 def hier_logreg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square-selected terms, labels indexed globally, logistic regression at all levels."""

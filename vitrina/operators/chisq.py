@@ -23,7 +23,7 @@ def chi_square(features: DataFrame, target: str) -> DataFrame:
     sizes = materialize(
         features.groupBy(target).agg(F.count(F.lit(1)).alias("n_class")), "class-sizes"
     )
-    total = sizes.agg(F.sum("n_class").alias("total"))
+    total = F.lit(float(sizes.agg(F.sum("n_class")).first()[0] or 0))
     cells = (
         explode_rows(features.select(target, "terms"), "terms", "_t")
         .groupBy(target, F.col("_t.index").alias("index"))
@@ -36,11 +36,10 @@ def chi_square(features: DataFrame, target: str) -> DataFrame:
             F.sum("observed").alias("df"),
             F.sum(F.col("observed") * F.col("observed") / F.col("n_class")).alias("_sum"),
         )
-        .join(F.broadcast(total))  # one row
     )
-    share = F.col("df") / F.col("total")
-    statistic = F.when(F.col("df") == F.col("total"), F.lit(0.0)).otherwise(
-        (F.col("_sum") - F.col("total") * share * share) / (share * (F.lit(1.0) - share))
+    share = F.col("df") / total
+    statistic = F.when(F.col("df") == total, F.lit(0.0)).otherwise(
+        (F.col("_sum") - total * share * share) / (share * (F.lit(1.0) - share))
     )
     return per_term.select("index", "df", statistic.alias("statistic"))
 

@@ -46,8 +46,8 @@ def decode_labels(df: DataFrame, labels: DataFrame, index: str, name: str) -> Da
 
 def label_catalogue(labels: DataFrame) -> DataFrame:
     """Number of labels next to each label."""
-    total = labels.agg(F.count(F.lit(1)).alias("labels"))
-    return labels.join(F.broadcast(total)).select("labels", "label_index", "label")  # one total row
+    everything = W.partitionBy(F.lit(1))
+    return labels.select(F.count(F.lit(1)).over(everything).alias("labels"), "label_index", "label")
 
 
 def one_hot(index: Column, size: int, drop_last: bool = True) -> Column:

@@ -104,17 +104,25 @@ class GroupModels:
     constants: dict[str, str] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, group: str | None = None) -> DataFrame:
-        """Attach ``category``; every group's rows go through its own pipeline."""
+        """Attach ``category``; every group's rows go through its own pipeline.
+
+        Rows of groups without a model are left out.
+        """
         group = group or self.group
         parts = []
+        if group:
+            # Written once by group, so that each pipeline reads its own folder only.
+            df = df.withColumn("_group", F.col(group))
+            df = materialize(df, "rows-by-group", ["_group"])
+        columns = [c for c in df.columns if c != "_group"]
         for key, model in sorted(self.models.items()):
-            rows = df.where(F.col(group) == key) if group else df
-            parts.append(model.transform(rows).select(*df.columns, "category"))
+            rows = df.where(F.col("_group") == key) if group else df
+            parts.append(model.transform(rows).select(*columns, "category"))
         if self.constants:
             value = F.create_map(*[F.lit(x) for kv in self.constants.items() for x in kv])
-            rows = df.where(F.col(group).isin(list(self.constants))) if group else df
-            key = F.col(group) if group else F.lit("")
-            parts.append(rows.withColumn("category", F.element_at(value, key)))
+            rows = df.where(F.col("_group").isin(list(self.constants))) if group else df
+            key = F.col("_group") if group else F.lit("")
+            parts.append(rows.withColumn("category", F.element_at(value, key)).drop("_group"))
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)

@@ -61,8 +61,9 @@ def lookup_join(
     """Join ``facts`` to ``table`` (inner, left or left_semi) on equal columns.
 
     ``table`` should be materialised, since it is measured first. ``frequency`` names its column of
-    key frequencies; the column is not part of the result. ``salt_on`` names columns of ``facts``
-    that vary inside a hot key, such as the item id; without any, all columns are hashed.
+    key frequencies and requires unique keys; the column is not part of the result. ``salt_on`` names
+    columns of ``facts`` that vary inside a hot key, such as the item id; without any, all columns
+    are hashed.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")

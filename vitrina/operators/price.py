@@ -75,31 +75,38 @@ def percentiles(
 
 
 def with_bounds(
-    df: DataFrame, bounds: DataFrame, by: Sequence[str], salt_on: Sequence[str]
+    df: DataFrame, bounds: DataFrame, by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Attach per-group bounds; one row of bounds for the whole set when ``by`` is empty."""
-    if not by:
-        return df.crossJoin(F.broadcast(bounds.limit(1)))  # a single row
-    return lookup_join(df, bounds, by, salt_on=salt_on)
+    """Attach per-group bounds.
+
+    Bounds of the whole set are a single row: its values become literals, so that a filter on them
+    reaches the scan. Bounds of groups are written and looked up.
+    """
+    if by:
+        return lookup_join(df, materialize(bounds, "bounds"), by, how, salt_on=["item_id"])
+    row = bounds.first()
+    if row is None and how == "inner":
+        return df.where(F.lit(False)).select("*", *[F.lit(None).alias(c) for c in bounds.columns])
+    values = {f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in bounds.schema}
+    return df.select("*", *[value.alias(name) for name, value in values.items()])
+
+
+def trim_bounds(df: DataFrame, bottom: float, top: float, by: Sequence[str] = ()) -> DataFrame:
+    """``_low`` and ``_high`` per group."""
+    return percentiles(df, [bottom, top], by).select(
+        *by, F.col(_name(bottom)).alias("_low"), F.col(_name(top)).alias("_high")
+    )
 
 
 def trim_by_percentile(
-    df: DataFrame,
-    bottom: float,
-    top: float,
-    by: Sequence[str] = (),
-    salt_on: Sequence[str] = ("item_id",),
+    df: DataFrame, bottom: float, top: float, by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows whose price lies between two percentiles of their group, ends included.
 
     ``by=()`` trims the whole set, ``by=["cat_2"]`` each category on its own, in one job.
     Rows without a price are dropped.
     """
-    by = list(by)
-    bounds = percentiles(df, [bottom, top], by).select(
-        *by, F.col(_name(bottom)).alias("_low"), F.col(_name(top)).alias("_high")
-    )
-    bounded = with_bounds(df, materialize(bounds, "bounds"), by, salt_on)
+    bounded = with_bounds(df, trim_bounds(df, bottom, top, by), by)
     return bounded.where(F.col("price").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
@@ -107,15 +114,7 @@ def trim_report(
     df: DataFrame, bottom: float, top: float, by: Sequence[str] = ()
 ) -> DataFrame:
     """Items, items with a price and items kept by ``trim_by_percentile``, per group."""
-    by = list(by)
-    bounds = percentiles(df, [bottom, top], by).select(
-        *by, F.col(_name(bottom)).alias("_low"), F.col(_name(top)).alias("_high")
-    )
-    bounds = materialize(bounds, "bounds")
-    if by:
-        bounded = lookup_join(df, bounds, by, how="left", salt_on=["item_id"])
-    else:
-        bounded = df.join(F.broadcast(bounds.limit(1)), how="left")
+    bounded = with_bounds(df, trim_bounds(df, bottom, top, by), by, how="left")
     kept = F.col("price").between(F.col("_low"), F.col("_high"))
     return bounded.groupBy(*by).agg(
         F.count(F.lit(1)).alias("items"),
@@ -162,12 +161,14 @@ def trim_by_rank(
         (F.least(k_high + 1, F.col("total")) - F.col("high_below")).alias("_high_nth"),
     )
     ends = materialize(ends, "ends")
-    bounded = with_bounds(rows, ends.drop("total"), by, [item_id])
     pairs = ends.drop("total")
+    bounded = with_bounds(rows, pairs, by)
     ids = _tie_thresholds(bounded, by, field, item_id)
     # A group may be missing from the tie table only when it is returned whole.
-    pairs = pairs.join(ids, by, "left") if by else pairs.join(ids, how="left")
-    bounded = with_bounds(rows, materialize(pairs, "ends"), by, [item_id])
+    if by:
+        bounded = with_bounds(rows, pairs.join(ids, by, "left"), by)
+    else:
+        bounded = with_bounds(bounded, ids, by, how="left")
     value = F.col(field)
     above = (value > F.col("low")) | ((value == F.col("low")) & (F.col(item_id) >= F.col("low_id")))
     below = (value < F.col("high")) | (

@@ -27,6 +27,8 @@ class Limits:
 # Limits for words, 2-grams and 3-grams.
 GRAM_LIMITS = {1: Limits(60_000, 100), 2: Limits(30_000, 50), 3: Limits(30_000, 50)}
 
+RANK_PARTS = 32
+
 # How a sparse vector is stored.
 SPARSE = T.StructType(
     [
@@ -50,20 +52,31 @@ def term_counts(items: DataFrame, terms: str | Column, by: Sequence[str] = ()) -
     )
 
 
-def vocabulary(items: DataFrame, terms: str, size: int, min_df: int = 1) -> DataFrame:
-    """``index, term, n, df`` of the most frequent terms; equal counts follow the term itself.
+def most_frequent(counts: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
+    """The ``size`` most frequent terms per group with their ``rank``; equal counts follow the term.
 
-    At most ``size`` rows reach the final numbering, whatever the data size.
+    Each group is ranked in ``RANK_PARTS`` parts by a hash of the term first. Only the best of each
+    part meet in one task, at most ``RANK_PARTS * size`` rows however many terms a group has.
     """
-    best = (
-        term_counts(items, terms)
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("n"), "term")
-        .limit(size)
+    order = [F.desc("n"), F.col("term")]
+    part = F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS)).alias("_part")
+    parts = W.partitionBy(*by, "_part").orderBy(*order)
+    group = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(*order)
+    return (
+        counts.select("*", part)
+        .withColumn("rank", F.row_number().over(parts))
+        .where(F.col("rank") <= size)
+        .drop("_part")
+        .withColumn("rank", F.row_number().over(group))
+        .where(F.col("rank") <= size)
     )
-    order = W.orderBy(F.desc("n"), F.col("term"))
-    return best.select(
-        (F.row_number().over(order) - 1).alias("index"), "term", "n", "df"
+
+
+def vocabulary(items: DataFrame, terms: str, size: int, min_df: int = 1) -> DataFrame:
+    """``index, term, n, df`` of the most frequent terms."""
+    counts = term_counts(items, terms).where(F.col("df") >= min_df)
+    return most_frequent(counts, size).select(
+        (F.col("rank") - 1).alias("index"), "term", "n", "df"
     )
 
 
@@ -80,30 +93,19 @@ def gram_vocabulary(
     for gram, limit in limits.items():
         min_df = F.when(F.col("gram") == gram, limit.min_df).otherwise(min_df)
         size = F.when(F.col("gram") == gram, limit.size).otherwise(size)
-    rank = F.row_number().over(W.partitionBy("gram").orderBy(F.desc("n"), F.col("term")))
     largest = max(limit.size for limit in limits.values())
-    best = (
-        counts.where(F.col("df") >= min_df)
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= largest)
-        .where(F.col("rank") <= size)
-    )
-    order = W.orderBy("gram", F.desc("n"), F.col("term"))
-    return best.select(
+    best = most_frequent(counts.where(F.col("df") >= min_df), largest, ["gram"])
+    # The final numbering sees no more rows than the limits allow.
+    order = W.orderBy("gram", "rank")
+    return best.where(F.col("rank") <= size).select(
         (F.row_number().over(order) - 1).alias("index"), "gram", "term", "n", "df"
     )
 
 
 def category_vocabulary(items: DataFrame, terms: str, category: str, size: int = 2000) -> DataFrame:
-    """The ``size`` most frequent terms of each category, numbered through over all categories.
-
-    The rank filter is pushed below the shuffle, so a dominant category sends at most ``size`` rows
-    per task to its window.
-    """
-    rank = F.row_number().over(W.partitionBy(category).orderBy(F.desc("n"), F.col("term")))
-    best = term_counts(items, terms, [category]).withColumn("rank", rank).where(
-        F.col("rank") <= size
-    )
+    """The ``size`` most frequent terms of each category, numbered through over all categories."""
+    best = most_frequent(term_counts(items, terms, [category]), size, [category])
+    best = materialize(best, "category-terms")  # at most size rows per category, read twice
     sizes = best.groupBy(category).agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy(category).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(category, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
@@ -122,15 +124,24 @@ def vocabulary_sizes(vocab: DataFrame, by: str = "gram") -> DataFrame:
 
 
 def count_vectors(
-    items: DataFrame, terms: str, vocab: DataFrame, binary: bool = False, item_id: str = "item_id"
+    items: DataFrame,
+    terms: str,
+    vocab: DataFrame,
+    binary: bool = False,
+    repeated: bool = False,
+    item_id: str = "item_id",
 ) -> DataFrame:
-    """Count vectors in long form: ``item_id, index, value``; zeros have no row."""
+    """Count vectors in long form: ``item_id, index, value``; zeros have no row.
+
+    ``repeated`` allows a term to have several indices, as in ``category_vocabulary``.
+    """
     exploded = explode_rows(items.select(item_id, term_runs(terms).alias("_runs")), "_runs", "_run")
     found = lookup_join(
         exploded.select(item_id, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf")),
-        vocab.select("term", "index", "df"),
+        vocab.select("term", "index") if repeated else vocab.select("term", "index", "df"),
         ["term"],
-        frequency="df",
+        salt_on=[item_id],
+        frequency=None if repeated else "df",
     )
     value = F.lit(1.0) if binary else F.col("tf").cast("double")
     return found.select(item_id, "index", value.alias("value"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrina.operators.bayes import ROOT, BayesModel, Level, fit_bayes, predict
 from vitrina.operators.evaluate import accuracy
-from vitrina.operators.lookup import lookup_join
-from vitrina.operators.price import percentiles, with_bounds
+from vitrina.operators.price import trim_bounds, with_bounds
 from vitrina.operators.split import in_train
 from vitrina.operators.vocabulary import Limits, gram_vocabulary, item_terms
 from vitrina.plans.preprocess import terms_of, with_terms, with_words
@@ -40,16 +39,18 @@ def build_features(
     keep: Sequence[str],
     limits: dict[int, Limits] | None = None,
     stop_words: Sequence[str] | None = None,
+    ngram_source: str = "raw",
     version: str | None = "v4",
+    plain: bool = False,
     train_on: str | None = None,
 ) -> Features:
     """Vocabulary and item terms. ``train_on`` names a boolean column: the vocabulary then comes
     from those items only."""
     limits = limits or {1: Limits(60_000, 5)}
-    words = with_words(items, version=version).select("item_id", *keep, "words")
+    words = with_words(items, version=version, plain=plain).select("item_id", *keep, "words")
     # The text rules cost most; their result is written once for the two passes that follow.
     words = materialize(words, "words")
-    terms = terms_of("words", tuple(limits), stop_words)
+    terms = terms_of("words", tuple(limits), stop_words, ngram_source)
     tokens = words.select("item_id", *keep, terms.alias("terms"))
     known = tokens.where(F.col(train_on)) if train_on else tokens
     vocab = materialize(gram_vocabulary(known, "terms", limits), "vocabulary")
@@ -66,16 +67,7 @@ def mark_trimmed(
     items: DataFrame, by: Sequence[str], bottom: float, top: float, name: str
 ) -> DataFrame:
     """Attach a flag: the price lies between two percentiles of its group (ends included)."""
-    by = list(by)
-    low, high = f"p{bottom:g}", f"p{top:g}"
-    bounds = percentiles(items, [bottom, top], by).select(
-        *by, F.col(low).alias("_low"), F.col(high).alias("_high")
-    )
-    bounds = materialize(bounds, "bounds")
-    if by:
-        joined = lookup_join(items, bounds, by, how="left", salt_on=["item_id"])
-    else:
-        joined = with_bounds(items, bounds, by, ["item_id"])
+    joined = with_bounds(items, trim_bounds(items, bottom, top, by), by, how="left")
     kept = F.coalesce(F.col("price").between(F.col("_low"), F.col("_high")), F.lit(False))
     return joined.withColumn(name, kept).drop("_low", "_high")
 

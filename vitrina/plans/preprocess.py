@@ -18,16 +18,23 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.normalize import normalize_title
 from vitrina.functions.stopwords import listing_stop_words
-from vitrina.functions.tokens import ngrams, regex_tokens, without_stop_words
+from vitrina.functions.tokens import ngrams, plain_tokens, regex_tokens, without_stop_words
 from vitrina.operators.vocabulary import GRAM_LIMITS, Limits
 
 
 def with_words(
-    items: DataFrame, title: str = "title", version: str | None = "v4", words: str = "words"
+    items: DataFrame,
+    title: str = "title",
+    version: str | None = "v4",
+    words: str = "words",
+    plain: bool = False,
 ) -> DataFrame:
-    """Attach the tokens of the normalised title (``version=None`` takes the title as it is)."""
+    """Attach the tokens of the normalised title (``version=None`` takes the title as it is).
+
+    ``plain`` splits at each whitespace character and keeps empty tokens.
+    """
     text = normalize_title(title, version) if version else F.col(title)
-    return items.withColumn(words, regex_tokens(text))
+    return items.withColumn(words, plain_tokens(text) if plain else regex_tokens(text))
 
 
 def terms_of(
@@ -53,9 +60,10 @@ def with_terms(
     stop_words: Sequence[str] | None = None,
     ngram_source: str = "raw",
     version: str | None = "v4",
+    plain: bool = False,
 ) -> DataFrame:
     """Replace the title by its ``terms``."""
-    df = with_words(items, version=version)
+    df = with_words(items, version=version, plain=plain)
     terms = terms_of("words", grams, stop_words, ngram_source)
     return df.withColumn("terms", terms).drop("words", "title")
 
