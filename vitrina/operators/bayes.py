@@ -29,6 +29,7 @@ from vitrina.functions.tokens import explode_rows
 from vitrina.operators.lookup import lookup_join
 from vitrina.session import materialize
 
+TABLES = ("classes", "weights", "lists")
 ROOT = ""  # the parent key of a root model
 MAX_BROADCAST_CELLS = 8_000_000  # about 20 bytes each
 SCORE_DIGITS = 6  # scores are compared after rounding, equal ones go to the lower label
@@ -56,23 +57,24 @@ class Level:
 
 @dataclass
 class BayesModel:
+    """Fitted tables; ``lists`` holds per model its classes in label order, for scoring."""
+
     kind: str
     classes: DataFrame
     weights: DataFrame
+    lists: DataFrame
 
     def save(self, path: str) -> None:
-        """Both tables, one folder per level."""
-        for name, table in (("classes", self.classes), ("weights", self.weights)):
-            table.write.mode("overwrite").partitionBy("level").parquet(
-                f"{path.strip()}/{self.kind}/{name}"
-            )
+        """All tables under one folder, each with one folder per level."""
+        for name in TABLES:
+            table: DataFrame = getattr(self, name)
+            target = f"{path.strip()}/{self.kind}/{name}"
+            table.write.mode("overwrite").partitionBy("level").parquet(target)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, kind: str) -> BayesModel:
         root = f"{path.strip()}/{kind}"
-        return cls(
-            kind, spark.read.parquet(f"{root}/classes"), spark.read.parquet(f"{root}/weights")
-        )
+        return cls(kind, *[spark.read.parquet(f"{root}/{name}") for name in TABLES])
 
 
 def fit_bayes(
@@ -116,8 +118,9 @@ def fit_bayes(
 
     lam, size = F.lit(float(smoothing)), F.lit(float(vocabulary_size))
     n, seen = F.col("items"), F.col("seen")
-    known = [_known_classes(paths, level, u, lam) for level, u in zip(levels, used, strict=True)]
-    known = [materialize(table, "known-classes") for table in known]
+    every = [_known_classes(paths, level, u, lam) for level, u in zip(levels, used, strict=True)]
+    every = materialize(_union(every), "known-classes", ["level"])
+    known = [every.where(F.col("level") == level.target).drop("level") for level in levels]
 
     weight_tables = []
     for level, u, table in zip(levels, used, known, strict=True):
@@ -184,7 +187,8 @@ def fit_bayes(
                 F.lit(level.target).alias("level"),
             )
         )
-    return BayesModel(kind, materialize(_union(class_tables), "classes", ["level"]), weights)
+    classes = materialize(_union(class_tables), "classes", ["level"])
+    return BayesModel(kind, classes, weights, materialize(_class_lists(classes), "lists", ["level"]))
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
@@ -203,6 +207,7 @@ def _known_classes(paths: DataFrame, level: Level, used: str, lam: Column) -> Da
         .where(F.col("items") > 0)
     )
     return counted.select(
+        F.lit(level.target).alias("level"),
         (F.dense_rank().over(W.orderBy("parent")) - 1).alias("model"),
         "parent",
         "class",
@@ -251,7 +256,7 @@ def predict(
         known = F.size(terms).cast("double")
     else:
         known = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["tf"])
-    lists = class_lists(model, level)
+    lists = model.lists.where(F.col("level") == level)
     items = lookup_join(
         features.select(
             item_id, *carry, (parent if parent is not None else F.lit(ROOT)).alias("parent"),
@@ -295,16 +300,16 @@ def predict(
             cls["class"].alias("class"),
         )
 
-    without_gain = F.array_max(F.transform("_list", lambda cls: candidate(cls, F.lit(0.0))))
+    without_gain = F.array_max(F.transform("list", lambda cls: candidate(cls, F.lit(0.0))))
     with_gain = F.array_max(
-        F.transform("_gains", lambda g: candidate(F.get(F.col("_list"), g["label"]), g["gain"]))
+        F.transform("_gains", lambda g: candidate(F.get(F.col("list"), g["label"]), g["gain"]))
     )
     best = F.greatest(without_gain, with_gain)
     summed = items.select(item_id, *carry, "model", "_m").join(gains, item_id, "left")
     # Class lists join last, so that no shuffle repeats them per item.
     listed = lookup_join(
-        summed, lists.select("model", "_list"), ["model"], how="left", salt_on=[item_id],
-        size=F.size("_list"),
+        summed, lists.select("model", "list"), ["model"], how="left", salt_on=[item_id],
+        size=F.size("list"),
     )
     return listed.select(item_id, *carry, best.alias("_best")).select(
         item_id,
@@ -315,12 +320,9 @@ def predict(
     )
 
 
-def class_lists(model: BayesModel, level: str) -> DataFrame:
-    """Per model of a level: its number, its parent and its classes in label order."""
+def _class_lists(classes: DataFrame) -> DataFrame:
+    """Per level and model: the parent and its classes in label order."""
     entry = F.struct("label", "class", "intercept", "slope")
-    return materialize(
-        model.classes.where(F.col("level") == level)
-        .groupBy("model", "parent")
-        .agg(F.sort_array(F.collect_list(entry)).alias("_list")),
-        "class-lists",
+    return classes.groupBy("level", "model", "parent").agg(
+        F.sort_array(F.collect_list(entry)).alias("list")
     )
