@@ -11,6 +11,7 @@ from vitrina.operators import learners as ln
 from vitrina.operators.bayes import BayesModel, Level, fit_bayes, predict
 from vitrina.operators.chisq import chi_square
 from vitrina.operators.evaluate import accuracy
+from vitrina.operators.labels import label_index, one_hot
 from vitrina.operators.lookup import lookup_join
 from vitrina.operators.split import keyed_split
 from vitrina.operators.vocabulary import (
@@ -197,6 +198,14 @@ def test_chi_square_equals_ml(words):
         assert value == pytest.approx(expected[index], rel=1e-9, abs=1e-9)
 
 
+def test_label_index_breaks_ties_by_the_alphabet(spark):
+    df = spark.createDataFrame([(c,) for c in "bacc"], "cat string")
+    rows = label_index(df, "cat").orderBy("label_index").collect()
+    assert [r.label for r in rows] == ["c", "a", "b"]
+    encoded = df.limit(1).select(one_hot(F.lit(1), 3).alias("a"), one_hot(F.lit(2), 3).alias("b")).first()
+    assert (encoded.a, encoded.b) == ([0.0, 1.0], [0.0, 0.0])
+
+
 def test_keyed_split_is_stable_and_whole(words):
     train, test = keyed_split(words)
     again, _ = keyed_split(words.repartition(3))

@@ -94,6 +94,16 @@ def fit_perceptron(
     return PipelineModel(stages=[selector, network.fit(selector.transform(labelled)), decoder])
 
 
+def _by_group(df: DataFrame, group: str, name: str) -> DataFrame:
+    """Rows written with one folder per group.
+
+    The rebalance hint gathers a small group into few files and lets adaptive execution split the
+    partition of a dominant one.
+    """
+    rows = df.withColumn("_group", F.col(group)).hint("rebalance", "_group")
+    return materialize(rows, name, ["_group"])
+
+
 @dataclass
 class GroupModels:
     """One pipeline per group; a group with a single class has a constant instead."""
@@ -112,8 +122,7 @@ class GroupModels:
         parts = []
         if group:
             # Written once by group, so that each pipeline reads its own folder only.
-            df = df.withColumn("_group", F.col(group))
-            df = materialize(df, "rows-by-group", ["_group"])
+            df = _by_group(df, group, "rows-by-group")
         columns = [c for c in df.columns if c != "_group"]
         for key, model in sorted(self.models.items()):
             rows = df.where(F.col("_group") == key) if group else df
@@ -147,8 +156,7 @@ def fit_per_group(
     kept = trim_by_percentile(df, *trim, by=[group] if group else []) if trim else df
     kept = kept.select(*dict.fromkeys([c for c in (group, target, "features") if c]))
     if group:
-        kept = kept.withColumn("_group", F.col(group))
-        kept = materialize(kept, "group-rows", ["_group"])
+        kept = _by_group(kept, group, "group-rows")
         key = F.col("_group")
     else:
         kept = materialize(kept, "group-rows")

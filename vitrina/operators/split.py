@@ -9,9 +9,9 @@ TRAIN_SHARE = 0.9
 
 
 def random_split(
-    df: DataFrame, train: float = TRAIN_SHARE, seed: int = 19
+    df: DataFrame, train: float = TRAIN_SHARE, seed: int | None = 19
 ) -> tuple[DataFrame, DataFrame]:
-    """Random split; repeatable for the same seed and the same partitions."""
+    """Random split; repeatable for the same seed and the same partitions, free with ``None``."""
     left, right = df.randomSplit([train, 1.0 - train], seed=seed)
     return left, right
 
