@@ -8,7 +8,7 @@ regex engine has no look-behind.
 from __future__ import annotations
 
 from vitrina.functions.normalize import BOILERPLATE, OLD_UNITS, UNITS
-from vitrina.functions.stopwords import language_stop_words, listing_stop_words
+from vitrina.functions.stopwords import listing_stop_words
 from vitrina.operators.vocabulary import GRAM_LIMITS
 from vitrina.sources.tables import DECORATIONS
 
@@ -16,6 +16,21 @@ CATS = ("cat_0", "cat_1", "cat_2")
 WORDS = {1: (60_000, 5)}
 GRAMS = {1: (60_000, 5), 2: (30_000, 5), 3: (30_000, 5)}
 
+# The English stop words of Spark's own list, so that no session is needed here.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if
+or because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very
+s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
+
 
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -535,7 +550,7 @@ NAMES = """names AS (
 def oracle_sql() -> dict[str, str]:
     part_columns = "i.item_id, i.title, i.cat_0, i.cat_1, i.cat_2, i.price"
     order_columns = "i.item_id, i.cat_0, i.cat_1, i.price"
-    english = language_stop_words("english")
+    english = ENGLISH
     plain = (
         "CASE WHEN regexp_matches(lower(title), '^\\s+$') THEN [] ELSE "
         "string_split_regex(regexp_replace(lower(title), '\\s+$', ''), '\\s') END"
