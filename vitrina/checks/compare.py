@@ -14,6 +14,16 @@ TABLES = (
 )
 
 
+# Spark type name to DuckDB type name.
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -35,9 +45,14 @@ def duck_rows(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], list
 
 def difference(spark: SparkSession, con, fn, sql: str | None, sf_dir: str) -> str:
     """Empty when equal, else a short description."""
-    names, rows = spark_rows(fn(spark, sf_dir))
+    df = fn(spark, sf_dir)
+    names, rows = spark_rows(df)
     if sql is None:
         return "" if rows else "no rows"
+    ours = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if ours != theirs:
+        return f"types {sorted(set(ours.items()) ^ set(theirs.items()))}"
     other_names, other = duck_rows(con, sql)
     if names != other_names:
         return f"columns {names} != {other_names}"
