@@ -74,6 +74,24 @@ def test_percentiles_equal_brute_force(skewed, interpolate):
             assert found[cat][f"p{tile}"] == pytest.approx(nist(prices, tile, interpolate), rel=1e-12)
 
 
+@pytest.mark.parametrize("max_rows", [1, 20])
+def test_divided_buckets_give_the_same_values(spark, max_rows):
+    """Values crowded into one relative width of 1/1024, in units from tiny to large."""
+    rng = random.Random(5)
+    for unit in (1e-9, 1.0, 1e9):
+        rows = [(i, "a", unit * (1000 + rng.random() / 10)) for i in range(500)]
+        rows += [(i, "b", unit * 1000.05) for i in range(300)] + [(i, "b", -unit * i) for i in range(50)]
+        df = spark.createDataFrame(rows, "item_id bigint, cat string, price double")
+        wanted = {f"r{k}": F.lit(k) for k in (1, 7, 250, 340)}
+        found = ranks.values_at_ranks(df, ["cat"], "price", wanted, max_rows=max_rows).collect()
+        for row in found:
+            values = sorted(p for _, c, p in rows if c == row.cat)
+            for k in (1, 7, 250, 340):
+                assert row[f"r{k}"] == values[k - 1]
+                assert row[f"r{k}_below"] == sum(v < values[k - 1] for v in values)
+        assert len(found) == 2
+
+
 def test_trims_equal_brute_force(skewed):
     rows, df = skewed
     kept = {r.item_id for r in trim_by_percentile(df, 10, 90, ["cat"]).collect()}
@@ -114,6 +132,7 @@ def test_global_trim_by_rank(skewed):
 
 def test_value_bucket_is_monotone(spark):
     values = sorted(random.Random(1).uniform(-1e6, 1e9) for _ in range(2000)) + [1e9, 1e12]
+    values = sorted([*values, 0.0, -0.0, 5e-324, -5e-324, 1e-300, 1e-9])
     df = spark.createDataFrame([(v,) for v in values], "v double")
     buckets = [r[0] for r in df.orderBy("v").select(ranks.value_bucket(F.col("v"))).collect()]
     assert buckets == sorted(buckets)

@@ -4,10 +4,12 @@ A group may hold a third of all rows, so no window ever runs over its rows. Inst
 
 1. a histogram over value buckets is aggregated per group (partial aggregation, tiny shuffle);
 2. a window over the histogram finds the one bucket that holds each wanted rank;
-3. only rows of those buckets are read again, aggregated by value, and ranked inside the bucket.
+3. a bucket that still holds too many rows of different values is divided again, into equal widths
+   between its smallest and largest value;
+4. only rows of the final buckets are aggregated by value and ranked inside their bucket.
 
-Buckets are a fixed monotone function of the value with a relative width of 1/1024, so the histogram
-of a group has a few thousand rows whatever the data size, and a bucket holds a small share of it.
+The first buckets are a fixed monotone function of the value with a relative width of 1/1024, so the
+histogram of a group has some thousands of rows whatever the data size.
 """
 
 from __future__ import annotations
@@ -21,93 +23,105 @@ from pyspark.sql import functions as F
 from vitrina.operators.lookup import lookup_join
 from vitrina.session import materialize
 
-BUCKETS_PER_E_FOLD = 1024
+WIDTHS = 1024  # buckets per e-fold of the value, and per division of a bucket
+MAX_BUCKET_ROWS = 5_000_000
+MAX_DIVISIONS = 6  # each division gains 10 bits of the value
 
 
 def value_bucket(value: Column) -> Column:
     """Monotone bucket number: equal widths on a logarithmic scale, mirrored for negatives."""
     v = value.cast("double")
-    return (
-        F.signum(v) * F.floor(F.log1p(F.abs(v)) * F.lit(float(BUCKETS_PER_E_FOLD)))
-    ).cast("int")
+    # The logarithm of the smallest positive double is above -746, so numbers are positive.
+    magnitude = F.floor((F.log(F.abs(v)) + 746.0) * float(WIDTHS))
+    return F.when(v == 0, 0).otherwise(F.signum(v) * magnitude).cast("int")
 
 
-def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows per group and bucket, the rows before it in the group (``before``) and the group's total."""
-    counts = (
-        df.select(*by, F.col(value).alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
-        .groupBy(*by, value_bucket(F.col("_v")).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    running = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.select(
-        *by,
-        "bucket",
-        "n",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        F.sum("n").over(group).alias("total"),
+def _part_of(value: Column, low: Column, high: Column) -> Column:
+    share = (value - low).cast("double") / (high - low).cast("double")
+    return F.when(low < high, F.floor(share * float(WIDTHS))).otherwise(0).cast("int")
+
+
+def _ranked(counts: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """Rows before each bucket inside its parent bucket."""
+    group = W.partitionBy(*within) if within else W.partitionBy(F.lit(1))
+    running = group.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
+
+
+def _holding(buckets: DataFrame) -> DataFrame:
+    """Buckets that hold a wanted rank, with those ranks only."""
+    here = F.filter(
+        "wanted",
+        lambda w: (w["rank"] > F.col("before")) & (w["rank"] <= F.col("before") + F.col("n")),
     )
+    return buckets.withColumn("wanted", here).where(F.size("wanted") > 0)
 
 
 def values_at_ranks(
-    df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    ranks: dict[str, Column],
+    max_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """Values at given 1-based ranks of each group.
 
     ``ranks`` maps a name to an expression over ``total`` (the group's non-null rows) and the
     ``by`` columns. The result has one row per group with ``total``, ``<name>`` (the value) and
     ``<name>_below`` (rows strictly smaller than that value). Ranks outside 1..total give no value.
+    Buckets of more than ``max_rows`` rows are divided.
     """
     by = list(by)
     wanted = F.array(
         *[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]
     )
-    hits = (
-        histogram(df, by, value)
-        .withColumn("wanted", wanted)
-        .withColumn(
-            "wanted",
-            F.filter(
-                "wanted",
-                lambda w: (w["rank"] > F.col("before"))
-                & (w["rank"] <= F.col("before") + F.col("n")),
-            ),
-        )
-        .where(F.size("wanted") > 0)
+    rows = df.select(*by, F.col(value).alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double"))
+    )
+    sizes = (
+        F.count(F.lit(1)).alias("n"),
+        F.min("_v").alias("low"),
+        F.max("_v").alias("high"),
     )
+
+    path = ["_b0"]
+    rows = rows.withColumn("_b0", value_bucket(F.col("_v")))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    buckets = _ranked(rows.groupBy(*by, *path).agg(*sizes), by, "_b0")
+    buckets = buckets.withColumn("total", F.sum("n").over(group)).withColumn("wanted", wanted)
     # Few rows per group; every rank appears in exactly one bucket.
-    hits = materialize(hits, "ranks")
-    picked = (
-        lookup_join(
-            df.select(*by, F.col(value).alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
-            .withColumn("bucket", value_bucket(F.col("_v"))),
-            hits.select(*by, "bucket"),
-            [*by, "bucket"],
-            how="left_semi",
-            salt_on=["_v"],
+    hits = materialize(_holding(buckets), "ranks")
+
+    while len(path) <= MAX_DIVISIONS:
+        crowded = hits.where(F.col("low") < F.col("high")).agg(F.max("n")).first()[0]
+        if (crowded or 0) <= max_rows:
+            break
+        keys, part = [*by, *path], f"_b{len(path)}"
+        bounds = hits.select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"))
+        rows = lookup_join(rows, bounds, keys, salt_on=["_v"])
+        rows = rows.withColumn(part, _part_of(F.col("_v"), F.col("_low"), F.col("_high")))
+        rows = rows.drop("_low", "_high")
+        divided = _ranked(rows.groupBy(*keys, part).agg(*sizes), keys, part)
+        parents = hits.select(*keys, F.col("before").alias("_before"), "total", "wanted")
+        divided = divided.join(parents, keys).withColumn(
+            "before", F.col("before") + F.col("_before")
         )
-        .groupBy(*by, "bucket", "_v")
-        .agg(F.count(F.lit(1)).alias("same"))
-    )
-    in_bucket = (
-        W.partitionBy(*by, "bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        hits = materialize(_holding(divided.drop("_before")), "ranks")
+        path.append(part)
+
+    keys = [*by, *path]
+    picked = (
+        lookup_join(rows, hits.select(*keys), keys, how="left_semi", salt_on=["_v"])
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = picked.withColumn("upto", F.sum("same").over(in_bucket)).join(
-        hits, [*by, "bucket"]
-    ).withColumn("below", F.col("before") + F.col("upto") - F.col("same"))
-    found = ranked.withColumn(
-        "wanted",
-        F.filter(
-            "wanted",
-            lambda w: (w["rank"] > F.col("below")) & (w["rank"] <= F.col("below") + F.col("same")),
-        ),
-    ).where(F.size("wanted") > 0)
+    parents = hits.select(*keys, F.col("before").alias("_before"), "total", "wanted")
+    ranked = _ranked(picked, keys, "_v").join(parents, keys)
+    ranked = ranked.withColumn("before", F.col("before") + F.col("_before"))
+    found = _holding(ranked)
     outputs = []
     for name in ranks:
         here = F.array_contains(F.transform("wanted", lambda w: w["name"]), name)
         outputs.append(F.max(F.when(here, F.col("_v"))).alias(name))
-        outputs.append(F.max(F.when(here, F.col("below"))).alias(f"{name}_below"))
+        outputs.append(F.max(F.when(here, F.col("before"))).alias(f"{name}_below"))
     return found.groupBy(*by).agg(F.max("total").alias("total"), *outputs)
