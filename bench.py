@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from vitrina.checks.queries import REGISTRY  # noqa: E402
-from vitrina.session import local_session  # noqa: E402
+from vitrina.session import drop_working_tables, local_session  # noqa: E402
 
 # Work per query whose result is large is measured by an aggregate over every value.
 HEADLINES = (
@@ -74,6 +74,7 @@ def main() -> None:
         ),
         flush=True,
     )
+    drop_working_tables(spark)
     spark.stop()
 
 

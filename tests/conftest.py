@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from vitrina.session import local_session  # noqa: E402
+from vitrina.session import drop_working_tables, local_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ def spark():
     session = local_session("8", "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_working_tables(session)
     session.stop()
 
 

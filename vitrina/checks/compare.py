@@ -67,7 +67,7 @@ def difference(spark: SparkSession, con, fn, sql: str | None, sf_dir: str) -> st
 def main() -> None:
     from vitrina.checks.oracle import oracle_sql
     from vitrina.checks.queries import REGISTRY
-    from vitrina.session import local_session
+    from vitrina.session import drop_working_tables, local_session
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = local_session()
@@ -81,6 +81,7 @@ def main() -> None:
             found = f"{type(error).__name__}: {str(error)[:600]}"
         kind = "sql" if name in sql else "rows"
         print(f"{name:26s} {kind:4s} {time.time() - start:6.1f}s {found or 'ok'}", flush=True)
+    drop_working_tables(spark)
 
 
 if __name__ == "__main__":

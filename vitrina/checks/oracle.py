@@ -699,6 +699,14 @@ def oracle_sql() -> dict[str, str]:
         "trim_rank_ties": _rank_trim_query(
             LINE_ITEMS, "line_items", "cat_0", 5, 95, "item_id, cat_0, price"
         ),
+        "priced_category": with_ctes(
+            PART_ITEMS,
+            select="SELECT * FROM part_items WHERE cat_0 = 'ECONOMY' AND price IS NOT NULL",
+        ),
+        "first_items": with_ctes(
+            PART_ITEMS,
+            select="SELECT * FROM part_items ORDER BY price DESC NULLS LAST, item_id LIMIT 100",
+        ),
         "price_band": with_ctes(
             PART_ITEMS, select="SELECT * FROM part_items WHERE price > 1 AND price < 999999"
         ),

@@ -361,6 +361,19 @@ def trim_rank_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trim_by_rank(lines, 5, 95, ["cat_0"])
 
 
+@query
+def priced_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of one category that have a price."""
+    items = tb.part_items(spark, sf_dir)
+    return items.where((F.col("cat_0") == "ECONOMY") & F.col("price").isNotNull())
+
+
+@query
+def first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 dearest items, a top-k report."""
+    return tb.part_items(spark, sf_dir).orderBy(F.desc_nulls_last("price"), "item_id").limit(100)
+
+
 @query
 def price_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_band(tb.part_items(spark, sf_dir))

@@ -32,6 +32,7 @@ from vitrina.session import materialize
 TABLES = ("classes", "weights", "lists")
 ROOT = ""  # the parent key of a root model
 MAX_BROADCAST_CELLS = 8_000_000  # about 20 bytes each
+ROW_COST = 4  # a row of weights takes the room of this many cells
 SCORE_DIGITS = 6  # scores are compared after rounding, equal ones go to the lower label
 
 
@@ -279,7 +280,7 @@ def predict(
         weights.select("model", "index", "frequency", "cells"),
         ["model", "index"],
         frequency="frequency",
-        size=F.size("cells"),
+        size=F.size("cells") + ROW_COST,
         max_rows=max_cells,
     ).select(item_id, "tf", F.explode("cells").alias("_c"))
     gain = F.col("_c.gain")

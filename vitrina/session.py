@@ -47,9 +47,21 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="vitrina-")
 
 
+def working_folder(spark: SparkSession) -> str:
+    """The folder of this application's working tables."""
+    return f"{shared_folder(spark)}/vitrina/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/vitrina/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a working table."""
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_working_tables(spark: SparkSession) -> None:
+    """Delete this application's working tables, once no DataFrame or model reads them any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(working_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(
