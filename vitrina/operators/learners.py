@@ -22,9 +22,10 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrina.operators.price import trim_by_percentile
-from vitrina.session import materialize
+from vitrina.session import materialize, new_path
 
 COLUMNS = {"featuresCol": "features", "labelCol": "label"}
 
@@ -113,29 +114,37 @@ class GroupModels:
     models: dict[str, PipelineModel] = field(default_factory=dict)
     constants: dict[str, str] = field(default_factory=dict)
 
-    def transform(self, df: DataFrame, group: str | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, group: str | None = None, threads: int = 4) -> DataFrame:
         """Attach ``category``; every group's rows go through its own pipeline.
 
-        Rows of groups without a model are left out.
+        Rows are written once by group, so each pipeline reads its own folder only. The groups are
+        scored as separate jobs, a few at a time: one plan over thousands of pipelines would not be
+        planned in reasonable time. Rows of groups without a model are left out.
         """
         group = group or self.group
-        parts = []
-        if group:
-            # Written once by group, so that each pipeline reads its own folder only.
-            df = _by_group(df, group, "rows-by-group")
-        columns = [c for c in df.columns if c != "_group"]
-        for key, model in sorted(self.models.items()):
-            rows = df.where(F.col("_group") == key) if group else df
-            parts.append(model.transform(rows).select(*columns, "category"))
+        spark, columns = df.sparkSession, df.columns
+        schema = T.StructType([*df.schema.fields, T.StructField("category", T.StringType())])
+        rows = _by_group(df, group, "rows-by-group") if group else df
+        root = new_path(spark, "scored")
+
+        def write(number: int, scored: DataFrame) -> str:
+            path = f"{root}/{number}"
+            scored.select(*columns, "category").write.parquet(path)
+            return path
+
+        def score(number: int, key: str) -> str:
+            own = rows.where(F.col("_group") == key) if group else rows
+            return write(number, self.models[key].transform(own))
+
+        keys = sorted(self.models)
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            paths = list(pool.map(score, range(len(keys)), keys))
         if self.constants:
             value = F.create_map(*[F.lit(x) for kv in self.constants.items() for x in kv])
-            rows = df.where(F.col("_group").isin(list(self.constants))) if group else df
+            own = rows.where(F.col("_group").isin(list(self.constants))) if group else rows
             key = F.col("_group") if group else F.lit("")
-            parts.append(rows.withColumn("category", F.element_at(value, key)).drop("_group"))
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole
+            paths.append(write(len(keys), own.withColumn("category", F.element_at(value, key))))
+        return spark.read.schema(schema).parquet(*paths)
 
 
 def fit_per_group(
