@@ -21,10 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held = langid.crc_remainder(F.col("doc_id"), 3) == 1
     model = langid.learn(docs.where(~held))
-    keep = {c: F.col(f"`{c}`") for c in docs.columns if c != "text"}
-    # identify() consumes the text, so it is handed through under another name as well
-    told = langid.identify(docs, model, {**keep, "__text": F.col("text")})
-    return told.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    # every column goes through under a name of its own, so none clashes with the operator's
+    told = langid.identify(docs, model, {f"__{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    kept = told.where(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
