@@ -187,7 +187,7 @@ def corpus():
     return [(1000 + 3 * i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("small", [48, 4])
+@pytest.mark.parametrize("small", [1024, 4])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     rows = corpus()

@@ -3,13 +3,15 @@
 Documents are sets of word shingles with a minwise signature. Documents with equal sets are one vertex. A
 chosen-path tree branches every vertex by a few selected minwise positions: vertices that agree at a
 chosen position meet in a child node. Nodes that are small are compared exhaustively, larger ones branch
-again by positions that the node's own path selects. Independent trees are repeated until two
+again by positions that the node's own path selects; what is still large at the end is compared exhaustively as well. Independent trees are repeated until two
 sets at the threshold miss each other with the wanted probability only.
 
-Groups of copies never cost all their pairs. A first pass pairs the members of a node with the
-node's smallest vertex only and joins the confirmed links to components; afterwards nodes within
-one component are dropped, and pairs within a component are not compared again.
-Signatures only suggest pairs: every link is confirmed on the full shingle sets.
+Groups of copies never cost all their pairs. A first pass pairs the members of a node with one pivot only,
+the one whose sketch has the node's most frequent values (of a family of copies, the original). Confirmed links are joined to
+components; afterwards only pairs of different components are looked for. Jaccard distance is a
+metric, so a vertex that may link with a neighbour of the pivot is itself at half the similarity or more to the pivot: only
+such vertices are compared with the pivot's neighbours, all others only among themselves.
+Sketches only suggest pairs: every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vitrina.llm.components import components
 from vitrina.llm.words import find_words, join_hashes, mix, word_hashes
@@ -29,22 +32,22 @@ from vitrina.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-POSITIONS = 32  # minwise positions of a signature
+POSITIONS = 192  # minwise positions of a sketch, of a byte each
 MISS = 1e-6  # of two sets at the threshold, at the roots of all trees
-STAR_POSITIONS = 3
-SMALL = 48  # members up to which a node is compared exhaustively
-DEPTH = 5
-BRANCHES = 2
-SKETCH_SLACK = 4.5  # standard deviations below the threshold at which a signature still suggests a pair
+SMALL = 1024  # members up to which a node is compared exhaustively, in tiles
+TILE = 64  # members on a side of a tile
+DEPTH = 4
+BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked sets outnumber those cut
+DENSITY = 8  # positions of a sketch by which a pivot is chosen
+RING = 2 * THRESHOLD - 100  # per cent: least similarity to a pivot of what links with a neighbour of the pivot
+_NODE = ["node", "digest", "label", "sketch", "n"]
+SKETCH_SLACK = 4.0  # standard deviations below the threshold at which a signature still suggests a pair
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
-_PRINT = "doc_id long, n_shingles long, digest binary, signature binary"
-_SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+ROOTS = math.ceil(math.log(MISS) / math.log(1 - THRESHOLD / 100))  # positions at which the roots of all trees branch
 
-
-def root_positions() -> int:
-    """Minwise positions at which the roots of all trees branch, from the recall wanted."""
-    return min(POSITIONS, math.ceil(math.log(MISS) / math.log(1 - THRESHOLD / 100)))
+_PRINT = "doc_id long, n_shingles long, digest binary, roots binary, sketch binary"
+_SEEDS = mix(np.arange(1, ROOTS + POSITIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -66,29 +69,30 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(set x position) minwise values; no set is empty."""
+def _minwise(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes at the roots (set x ROOTS) and sketches (set x POSITIONS, a byte each); no set is empty."""
     every = np.concatenate(sets)
     firsts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), POSITIONS), np.uint64)
+    out = np.empty((len(sets), len(_SEEDS)), np.uint64)
     for k, seed in enumerate(_SEEDS):
         out[:, k] = np.minimum.reduceat((every ^ (seed >> np.uint64(7))) * seed, firsts)
-    return mix(out)
+    out = mix(out)
+    nodes = mix(out[:, :ROOTS] + np.arange(1, ROOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return nodes, (out[:, ROOTS:] & np.uint64(255)).astype(np.uint8)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("text"))
         some = [i for i, s in enumerate(sets) if len(s)]
-        signatures: list = [None] * len(sets)
-        digests: list = [None] * len(sets)
-        for at in range(0, len(some), 512):
-            rows = some[at : at + 512]
-            for i, signature in zip(rows, _signatures([sets[i] for i in rows]), strict=True):
-                signatures[i], digests[i] = signature.tobytes(), _digest(sets[i])
+        digests, roots, sketches = ([None] * len(sets) for _ in range(3))
+        for at in range(0, len(some), 256):
+            rows = some[at : at + 256]
+            for i, root, sketch in zip(rows, *_minwise([sets[i] for i in rows]), strict=True):
+                digests[i], roots[i], sketches[i] = _digest(sets[i]), root.tobytes(), sketch.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "signature"],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, roots, sketches)]],
+            names=["doc_id", "n_shingles", "digest", "roots", "sketch"],
         )
 
 
@@ -101,20 +105,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _roots(first: int, last: int):
-    """A row for each vertex and root position."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vertex and root node."""
+    for batch in batches:
+        nodes = np.frombuffer(b"".join(batch.column("roots").to_pylist()), np.int64).reshape(-1, ROOTS)
+        for k in range(ROOTS):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[:, k]), batch.column("digest"), batch.column("n")], names=["node", "digest", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = batch.column("digest")
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, POSITIONS)
-            for k in range(first, last):
-                nodes = mix(signature[:, k] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes.view(np.int64)), pa.array(np.full(len(nodes), k, np.int32)), digests], names=["node", "position", "digest"]
-                )
 
-    return run
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Share of agreeing positions of each member's sketch and its pivot's."""
+    for batch in batches:
+        share = (_sketches(batch.column("s")) == _sketches(batch.column("sketch"))).mean(axis=1)
+        kept = [c for c in batch.schema.names if c not in ("s", "sketch")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(share)], names=[*kept, "share"])
+
+
+def _pivots(nodes: DataFrame) -> DataFrame:
+    """Per node the member whose sketch has the most frequent values, by DENSITY positions."""
+    values = nodes.select("node", "digest", *[F.substring("sketch", 1 + k * POSITIONS // DENSITY, 1).alias(f"s{k}") for k in range(DENSITY)])
+    entries = values.select("node", "digest", F.posexplode(F.array(*[f"s{k}" for k in range(DENSITY)])).alias("k", "value"))
+    counts = entries.groupBy("node", "k", "value").agg(F.count(F.lit(1)).alias("n"))
+    score = entries.join(counts, ["node", "k", "value"]).groupBy("node", "digest").agg(F.sum("n").alias("score"))
+    return score.groupBy("node").agg(F.max(F.struct("score", "digest")).alias("best")).select("node", F.col("best.digest").alias("pivot"))
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,54 +140,55 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         nodes = batch.column("node").to_numpy().view(np.uint64)
-        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, POSITIONS)
-        pick = mix(nodes + np.uint64(0x5851F42D4C957F2D))
-        step = (mix(pick) % np.uint64(POSITIONS // 2)) * np.uint64(2) + np.uint64(1)  # odd: the positions differ
-        for branch in range(BRANCHES):
-            at = ((pick + step * np.uint64(branch)) % np.uint64(POSITIONS)).astype(np.int64)
-            child = mix(mix(nodes) + signature[np.arange(len(nodes)), at] * np.uint64(3) + np.uint64(branch))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(child.view(np.int64)), batch.column("digest"), batch.column("label"), batch.column("signature"), batch.column("n")],
-                names=["node", "digest", "label", "signature", "n"],
-            )
+        sketch = _sketches(batch.column("sketch"))
+        pick = mix(nodes + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(8)
+        step = mix(pick) % np.uint64(POSITIONS - 1) + np.uint64(1)
+        second = (mix(step + nodes) >> np.uint64(11)) * 2.0**-53 < BRANCHES - 1
+        for branch, some in ((0, np.arange(len(nodes))), (1, np.flatnonzero(second))):
+            at = ((pick + step * np.uint64(branch)) % np.uint64(POSITIONS)).astype(np.int64)[some]
+            child = mix(mix(nodes[some]) + sketch[some, at].astype(np.uint64) * np.uint64(2) + np.uint64(branch + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *[batch.column(c).take(pa.array(some)) for c in _NODE[1:]]], names=_NODE)
 
 
 def _suggest(least: float):
-    """Pairs of different components that agree in enough positions, of nodes that come sorted."""
-
-    def compared(rows: list) -> tuple[list, list]:
-        signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint64).reshape(-1, POSITIONS)
-        sizes = np.array([r["n"] for r in rows])
-        labels = np.array([r["label"].hex() for r in rows])
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            near = (signature[i + 1 :] == signature[i]).mean(axis=1) >= least
-            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            near &= (100 * low >= THRESHOLD * high) & (labels[i + 1 :] != labels[i])
-            for j in np.flatnonzero(near) + i + 1:
-                x, y = sorted((rows[i]["digest"], rows[j]["digest"]))
-                a.append(x)
-                b.append(y)
-        return a, b
+    """Pairs of different components that agree in enough positions, of two chunks of a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rows = None, []
         for batch in batches:
-            found_a, found_b = [], []
-            for row in batch.to_pylist():
-                if row["node"] != node:
-                    a, b = compared(rows)
-                    found_a += a
-                    found_b += b
-                    node, rows = row["node"], []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
-        a, b = compared(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a, b = [], []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                own = left.values
+                other = own if not right.is_valid else right.values
+                x, y = (_sketches(side.field("sketch")) for side in (own, other))
+                near = np.stack([(y == row).mean(axis=1) for row in x]) >= least
+                m, n = (side.field("n").to_numpy() for side in (own, other))
+                near &= 100 * np.minimum.outer(m, n) >= THRESHOLD * np.maximum.outer(m, n)
+                if own is other:
+                    near = np.triu(near, 1)
+                i, j = np.nonzero(near)
+                if len(i):
+                    one, two = (side.field("digest").to_pylist() for side in (own, other))
+                    p, q = (side.field("label").to_pylist() for side in (own, other))
+                    pairs = [sorted((one[k], two[m])) for k, m in zip(i, j, strict=True) if p[k] != q[m]]
+                    a += [x[0] for x in pairs]
+                    b += [x[1] for x in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """Every two chunks of each node, and every chunk with itself (right is null)."""
+    parts = F.ceil(F.col("size") / TILE)
+    cut = members.withColumn("part", F.pmod(F.xxhash64("digest"), parts)).withColumn("parts", parts)
+    chunks = cut.groupBy("node", "parts", "part").agg(F.collect_list(F.struct("digest", "label", "n", "sketch")).alias("members"))
+    chunks = materialize(chunks, "chunks")
+    left = chunks.select("node", F.col("members").alias("left"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), "part")
+    right = chunks.select("node", F.col("part").alias("other"), F.col("members").alias("right"))
+    own = left.where("part = other").select("left", F.lit(None).cast(left.schema["left"].dataType).alias("right"))
+    return own.unionByName(left.where("part <> other").join(right, ["node", "other"]).select("left", "right"))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -184,8 +202,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def least_agreement() -> float:
-    share = THRESHOLD / 100
+def least_agreement(share: float = THRESHOLD / 100) -> float:
+    """Agreement of two sketches below which their sets are less alike than ``share``."""
     return share - SKETCH_SLACK * math.sqrt(share * (1 - share) / POSITIONS)
 
 
@@ -198,7 +216,7 @@ class _Join:
         self.vertices = materialize(
             self.prints.where("digest is not null")
             .groupBy("digest")
-            .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
+            .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")),
             "vertices",
         )
 
@@ -215,14 +233,15 @@ class _Join:
         rows = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
         return materialize(rows.mapInArrow(_confirm, "u binary, v binary"), "confirmed")
 
-    def stars(self, members: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Members of a node paired with its smallest vertex, if signatures and sizes allow a link."""
-        pairs = members.join(sizes, "node").where("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
-        one = self.vertices.select(F.col("digest").alias("a"), F.col("n").alias("m"), F.col("signature").alias("s"))
-        two = self.vertices.select(F.col("digest").alias("b"), "n", "signature")
-        near = pairs.join(two, "b").join(one, "a").where(100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m"))
-        same = " + ".join(f"int(substring(s, {8 * k + 1}, 8) = substring(signature, {8 * k + 1}, 8))" for k in range(POSITIONS))
-        return near.where(F.expr(f"({same}) >= {least_agreement() * POSITIONS}")).select("a", "b")
+
+def _near(nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Members (digest) of each node with their agreement with its pivot, if at half the similarity of a link or more."""
+    own = nodes.join(pivots, "node").where("digest = pivot").select("node", "pivot", F.col("sketch").alias("s"), F.col("n").alias("m"))
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    rows = nodes.join(own, "node").where((F.col("digest") != F.col("pivot")) & (100 * low >= RING * high))
+    rows = rows.select("node", "pivot", "digest", (100 * low >= THRESHOLD * high).alias("sized"), "sketch", "s")
+    schema = "node long, pivot binary, digest binary, sized boolean, share double"
+    return rows.mapInArrow(_agreement, schema).where(F.col("share") >= least_agreement(RING / 100))
 
 
 def _open_nodes(members: DataFrame) -> DataFrame:
@@ -231,16 +250,6 @@ def _open_nodes(members: DataFrame) -> DataFrame:
     return sizes.where("low <> high").select("node", "size")
 
 
-def _in_parts(members: DataFrame) -> DataFrame:
-    """Crowded nodes that no further branch divides: every two parts of a node as a node of its own."""
-    half = SMALL // 2
-    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / half))
-    parts = members.withColumn("part", part).withColumn("parts", F.ceil(F.col("size") / half))
-    other = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    return other.withColumn("node", F.xxhash64("node", low, high)).select("node", "digest", "label", "signature", "n")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -250,34 +259,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id link too; a component of such rows only has a null id and they are kept. Rows that repeat a doc_id are answered each. Other columns are ignored.
     """
     join = _Join(docs)
-    members = join.vertices.mapInArrow(_roots(0, root_positions()), "node long, position int, digest binary")
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("digest").alias("pivot")).where("size > 1")
-    sizes = materialize(sizes, "nodes")
-    met = materialize(members.join(sizes.select("node"), "node", "left_semi"), "members")
-    links = join.confirmed(join.stars(met.where(F.col("position") < STAR_POSITIONS), sizes))
-    labels = components(links)
-
-    known = met.join(labels.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).select("node", "digest", "label")
-    known = materialize(known, "labelled")
-    live = known.join(_open_nodes(known), "node").join(join.vertices.select("digest", "signature", "n"), "digest")
-    live = materialize(live.select("node", "size", "digest", "label", "signature", "n"), "open")
-    small = [live.where(F.col("size") <= SMALL).drop("size")]
-    for depth in range(DEPTH):
+    members = join.vertices.mapInArrow(_members, "node long, digest binary, n long")
+    several = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = members.join(several.select("node"), "node").join(join.vertices.select("digest", "sketch"), "digest")
+    live = materialize(met.select("node", "digest", "sketch", "n"), "members")
+    pivots = materialize(_pivots(live), "pivots")
+    near = materialize(_near(live, pivots), "near")
+    enough = near.where(F.col("sized") & (F.col("share") >= least_agreement()))
+    links = join.confirmed(enough.select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct())
+    labels = components(links).select(F.col("vertex").alias("digest"), F.col("label").alias("now"))
+
+    # what is left of each node without the pivot's neighbours, and these with those around them
+    star = links.select(F.col("u").alias("pivot"), F.col("v").alias("digest"))
+    rest = live.select("node", "digest").join(pivots, "node").where("digest <> pivot").join(star, ["pivot", "digest"], "left_anti")
+    around = near.select("pivot", "digest").unionByName(pivots.select("pivot", F.col("pivot").alias("digest"))).distinct()
+    parted = rest.select("node", "digest").unionByName(around.select(F.xxhash64(F.lit("hub"), "pivot").alias("node"), "digest"))
+    named = parted.join(labels, "digest", "left").select("node", "digest", F.coalesce("now", "digest").alias("label"))
+    named = materialize(named, "parted")
+    live = named.join(_open_nodes(named), "node").join(join.vertices.select("digest", "sketch", "n"), "digest")
+    live = materialize(live.select("size", *_NODE), "open")
+    done = live.where(F.col("size") <= SMALL)
+    for _ in range(DEPTH):
         large = live.where(F.col("size") > SMALL)
         if not large.take(1):
             break
-        if depth == DEPTH - 1:
-            small.append(_in_parts(large))
-            break
-        below = materialize(large.mapInArrow(_children, "node long, digest binary, label binary, signature binary, n long"), "children")
-        live = materialize(below.join(_open_nodes(below), "node"), "open")
-        small.append(live.where(F.col("size") <= SMALL).drop("size"))
-    columns = ["node", "digest", "label", "signature", "n"]
-    nodes = small[0].select(*columns)
-    for more in small[1:]:
-        nodes = nodes.unionByName(more.select(*columns))
-    sorted_nodes = nodes.repartition("node").sortWithinPartitions("node")
-    pairs = sorted_nodes.mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
+        # members of a crowded node are dealt out evenly
+        below = large.repartition("node", "digest").mapInArrow(_children, "node long, digest binary, label binary, sketch binary, n long")
+        below = materialize(below, "children")
+        live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
+        done = done.unionByName(live.where(F.col("size") <= SMALL))
+    else:
+        done = done.unionByName(live.where(F.col("size") > SMALL))
+    pairs = _tiles(done).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
     more_links = join.confirmed(pairs)
 
     final = components(links.unionByName(more_links)).withColumnRenamed("vertex", "digest")
@@ -300,4 +313,4 @@ def with_digest(docs: DataFrame) -> DataFrame:
             digests = pa.array([_digest(s) for s in shingle_sets(batch.column(at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "__digest"])
 
-    return docs.mapInArrow(run, docs.schema.add("__digest", "binary"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("__digest", BinaryType())]))
