@@ -32,7 +32,7 @@ from vitrina.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
-POSITIONS = 192  # minwise positions of a sketch, of a byte each
+POSITIONS = 256  # minwise positions of a sketch, of a byte each
 MISS = 1e-6  # of two sets at the threshold, at the roots of all trees
 SMALL = 1024  # members up to which a node is compared exhaustively, in tiles
 TILE = 64  # members on a side of a tile
