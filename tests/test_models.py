@@ -28,9 +28,7 @@ from vitrina.session import materialize
 from vitrina.sources.models_io import assemble, load_model, model_name, save_model
 from vitrina.sources.taxonomy import PLAIN_PAIR, category_names, enrich_titles, read_tree
 
-VOWELS = [(w, "Vocales") for w in ("ae", "ai", "ao", "au")] + [
-    (w, "Consonantes") for w in ("bc", "bd", "be", "bf", "bg", "bh")
-]
+LETTERS = [(list(w), "x") for w in ("pqr", "pqs", "pt", "p")] + [(list(w), "y") for w in ("qu", "pv", "ww")]
 
 
 @pytest.fixture(scope="module")
@@ -47,11 +45,11 @@ def words(spark):
     ).cache()
 
 
-def test_vowel_vocabulary(spark):
-    df = spark.createDataFrame([(list(w), c) for w, c in VOWELS], "words array<string>, label string")
+def test_letter_vocabulary(spark):
+    df = spark.createDataFrame(LETTERS, "words array<string>, label string")
     rows = vocabulary(df, "words", 50).orderBy("index").collect()
-    assert len(rows) == 11
-    assert [(r.term, r.n) for r in rows[:3]] == [("b", 6), ("a", 4), ("e", 2)]
+    assert len(rows) == 8
+    assert [(r.term, r.n) for r in rows[:3]] == [("p", 5), ("q", 3), ("w", 2)]
 
 
 @pytest.mark.parametrize("min_df", [1, 40])

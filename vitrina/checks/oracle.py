@@ -8,7 +8,6 @@ regex engine has no look-behind.
 from __future__ import annotations
 
 from vitrina.functions.normalize import BOILERPLATE, OLD_UNITS, UNITS
-from vitrina.functions.stopwords import listing_stop_words
 from vitrina.operators.vocabulary import GRAM_LIMITS
 from vitrina.sources.tables import DECORATIONS
 
@@ -17,6 +16,32 @@ WORDS = {1: (60_000, 5)}
 GRAMS = {1: (60_000, 5), 2: (30_000, 5), 3: (30_000, 5)}
 
 # The English stop words of Spark's own list, so that no session is needed here.
+# The Spanish list with words of the trade, apart from the library's own.
+LISTING = """
++ / a aca ahi ajena ajenas ajeno ajenos al algo algun alguna algunas alguno algunos alla alli ambos
+ampleamos ante antes aquel aquella aquellas aquello aquellos aqui arriba asi atras aun aunque bajo
+bastante bien cabe cada casi cierta ciertas cierto ciertos combo como con conmigo conseguimos
+conseguir consigo consigue consiguen consigues contigo contra cual cuales cualquier cualquiera
+cualquieras cuan cuando cuanta cuantas cuanto cuantos cómo de dejar del demas demasiada demasiadas
+demasiado demasiados dentro desde donde el ella ellas ello ellos empleais emplean emplear empleas
+empleo en encima entonces entre envio era eramos eran eras eres es esa esas ese eso esos esta estaba
+estado estais estamos estan estar estas este esto estos estoy etc factura fin fue fueron fui fuimos
+garantia gratis gtia gueno ha hace haceis hacemos hacen hacer haces hacia hago hasta incluso intenta
+intentais intentamos intentan intentar intentas intento ir jamas junto juntos la largo las lo los
+mas me menos mi mia mias mientras mio mios mis misma mismas mismo mismos modo mucha muchas muchisima
+muchisimas muchisimo muchisimos mucho muchos muy nada ni ningun ninguna ningunas ninguno ningunos no
+nos nosotras nosotros nuestra nuestras nuestro nuestros nunca oferta os otra otras otro otros para
+parecer pero poca pocas poco pocos podeis podemos poder podria podriais podriamos podrian podrias
+por porque primero promo promocion puede pueden puedo pues que querer quien quienes quienesquiera
+quienquiera quiza quizas sabe sabeis sabemos saben saber sabes se segun ser si siempre siendo sin
+sino so sobre sois solamente solo somos soy sta su super sus suya suyas suyo suyos tal tales tambien
+tampoco tan tanta tantas tanto tantos te teneis tenemos tener tengo ti tiempo tiene tienen toda
+todas todo todos tomar trabaja trabajais trabajamos trabajan trabajar trabajas trabajo tras tu tus
+tuya tuyo tuyos ultimo un una unas uno unos usa usais usamos usan usar usas uso usted ustedes va
+vais valor vamos van varias varios vaya verdad verdadera vosotras vosotros voy vuestra vuestras
+vuestro vuestros y ya yo
+""".split()
+
 ENGLISH = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
 hers herself it its itself they them their theirs themselves what which who whom this that these
@@ -194,7 +219,7 @@ def grams(n: int) -> str:
 def terms_cte(sizes, stop: bool = True) -> str:
     parts = []
     for n in sizes:
-        source = without("words", listing_stop_words()) if n == 1 and stop else grams(n)
+        source = without("words", LISTING) if n == 1 and stop else grams(n)
         parts.append(f"SELECT item_id, {n} AS gram, unnest({source}) AS term FROM words")
     return (
         "terms AS MATERIALIZED (SELECT item_id, gram, term, count(*) AS tf FROM ("
@@ -578,7 +603,7 @@ def oracle_sql() -> dict[str, str]:
             DOC_ITEMS,
             select=f"SELECT item_id, array_to_string({plain}, '|') AS tokens FROM doc_items",
         ),
-        "stopwords_es": _token_query(without("words", listing_stop_words())),
+        "stopwords_es": _token_query(without("words", LISTING)),
         "stopwords_en": _token_query(without("words", english), version=None),
         "ngrams_1": _token_query(grams(1)),
         "ngrams_2": _token_query(grams(2)),
@@ -727,7 +752,7 @@ def oracle_sql() -> dict[str, str]:
             *pipeline(DOC_ITEMS, "doc_items", WORDS),
             *model_ctes("0", "words", "''", "cat_0"),
             "turns AS MATERIALIZED (SELECT conv_id * 100000 + turn AS item_id, '' AS parent, "
-            f"{without(tokens(normalize_v4('text')), listing_stop_words())} AS words "
+            f"{without(tokens(normalize_v4('text')), LISTING)} AS words "
             "FROM conversations)",
             "turn_terms AS (SELECT item_id, 1 AS gram, term, count(*) AS tf FROM "
             "(SELECT item_id, unnest(words) AS term FROM turns) GROUP BY ALL)",

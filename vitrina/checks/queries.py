@@ -589,7 +589,7 @@ def _embedded(spark: SparkSession, sf_dir: str, size: int, window: int):
     words = with_words(_documents(spark, sf_dir)).select("item_id", "cat_0", "words")
     words = materialize(words, "words")
     model = vc.fit_embeddings(
-        words, "words", size, window, min_count=5, partitions=spark.sparkContext.defaultParallelism
+        words, "words", size, window, min_count=0, partitions=spark.sparkContext.defaultParallelism
     )
     return words, model
 

@@ -94,7 +94,17 @@ def fit_bayes(
         raise ValueError(f"unknown kind {kind!r}")
     names = list(dict.fromkeys(c for lv in levels for c in (lv.parent, lv.target) if c))
     used = [f"use_{i}" for i in range(len(levels))]
-    flags = [lv.used.cast("int").alias(u) for lv, u in zip(levels, used, strict=True)]
+    flags = [
+        (lv.used & F.col(lv.target).isNotNull() & (F.col(lv.parent).isNotNull() if lv.parent else F.lit(True)))
+        .cast("int").alias(u)
+        for lv, u in zip(levels, used, strict=True)
+    ]
+
+    def comparable(df: DataFrame) -> DataFrame:
+        """Categories as join keys that match where both are null."""
+        keys = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in names}
+        return df.withColumns(keys)
+
 
     # One row per finest category with its number and its item count at each level.
     paths = features.select(*names, *flags).groupBy(*names).agg(
@@ -105,8 +115,8 @@ def fit_bayes(
     )
     weight = F.lit(1) if kind == "bernoulli" else F.col("_t.tf")
     located = lookup_join(
-        features.select("item_id", *names, *flags, "terms"),
-        paths.select(*names, "path"),
+        comparable(features.select("item_id", *names, *flags, "terms")),
+        comparable(paths.select(*names, "path")),
         names,
         salt_on=["item_id"],
     )

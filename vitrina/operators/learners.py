@@ -119,7 +119,7 @@ class GroupModels:
 
         Rows are written once by group, so each pipeline reads its own folder only. The groups are
         scored as separate jobs, a few at a time: one plan over thousands of pipelines would not be
-        planned in reasonable time. Rows of groups without a model are left out.
+        planned in reasonable time. Rows of groups without a model, or without a group, get a null category.
         """
         group = group or self.group
         spark, columns = df.sparkSession, df.columns
@@ -144,6 +144,10 @@ class GroupModels:
             own = rows.where(F.col("_group").isin(list(self.constants))) if group else rows
             key = F.col("_group") if group else F.lit("")
             paths.append(write(len(keys), own.withColumn("category", F.element_at(value, key))))
+        if group:
+            known = [*self.models, *self.constants]
+            none = rows.where(~F.coalesce(F.col("_group").isin(known), F.lit(False)))
+            paths.append(write(len(keys) + 1, none.withColumn("category", F.lit(None).cast("string"))))
         return spark.read.schema(schema).parquet(*paths)
 
 
