@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.words import LOWER, PIECE, mix, text_bytes
+from vitrina.llm.words import LOWER, PIECE, mix, small_batches, text_bytes
 
 Q = 10
 PATTERN = 120
@@ -221,7 +221,7 @@ def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _report(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [
                 (i, item, edits, len(which), first)
                 for i, items in sorted(matches(batch.column("text"), patterns.value).items())
@@ -239,7 +239,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def unmatched(patterns):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches, text):
                 keep = np.ones(batch.num_rows, bool)
                 keep[list(matches(batch.column(text), patterns.value))] = False
                 yield batch.filter(pa.array(keep))

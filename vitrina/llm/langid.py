@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.words import LETTERS, LOWER, Words, find_words
+from vitrina.llm.words import LETTERS, LOWER, Words, find_words, small_batches
 
 BUCKETS = 1 << 16
 PENALTY = 3.0  # log-likelihood units per further language and log of the number of words
 ROUNDS = 6
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_WORDS_AT_ONCE = 1 << 19
+_WORDS_AT_ONCE = 1 << 18
 
 
 def _trigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def _trigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small_batches(batches):
         buckets, _, texts = _trigrams(find_words(batch.column("text"), LETTERS))
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(langs)), np.diff(texts))
@@ -132,7 +132,7 @@ def mixtures(likelihoods: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             words = find_words(batch.column("text"), LETTERS)
             buckets, firsts, _ = _trigrams(words)
             n_words = words.counts()

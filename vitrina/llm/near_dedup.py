@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vitrina.llm.components import components
-from vitrina.llm.words import find_words, join_hashes, mix, word_hashes
+from vitrina.llm.words import find_words, join_hashes, mix, small_batches, word_hashes
 from vitrina.session import materialize
 
 SHINGLE = 5
@@ -82,7 +82,7 @@ def _minwise(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         sets = shingle_sets(batch.column("text"))
         some = [i for i, s in enumerate(sets) if len(s)]
         digests, roots, sketches = ([None] * len(sets) for _ in range(3))
@@ -97,7 +97,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,22 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int | str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, a row at least: a task's memory depends on neither
+    the number of rows that arrive at once nor their lengths, but for a single text's."""
+    for batch in batches:
+        texts = batch.column(column)
+        if not len(texts):
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(ends):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 @dataclass
 class Words:
     """Words of a batch: where each begins and ends in ``data``, and each text's first word."""
