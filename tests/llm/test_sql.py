@@ -39,7 +39,7 @@ def test_licenses(spark):
     found = spark_rows(licences.scan(df))
     assert found == duck(SQL["op4_licenses"], documents=("doc_id bigint, text varchar", LICENSE_TEXTS))
     by_id = {r["doc_id"]: r for r in licences.scan(df).collect()}
-    assert (by_id[1]["n_base"], by_id[1]["first_word"], by_id[1]["last_word"]) == (3, 0, 4)
+    assert (by_id[1]["n_base"], by_id[1]["first_word"], by_id[1]["last_word"]) == (3, 0, 5)
     assert by_id[8]["n_base"] == 0 and by_id[8]["labels"] == "apache"
     assert not licences.scan(df.limit(0)).take(1)
 
