@@ -141,3 +141,49 @@ def test_value_bucket_is_monotone(spark):
 def test_band_excludes_its_ends(spark):
     df = spark.createDataFrame([(p,) for p in (None, 1.0, 1.01, 999998.9, 999999.0)], "price double")
     assert [r.price for r in outlier_band(df).collect()] == [1.01, 999998.9]
+
+
+def test_infinite_prices_are_smallest_and_largest(spark):
+    inf = float("inf")
+    rows = [(i, "a", p) for i, p in enumerate([-inf, *map(float, range(1, 9)), inf])] + [(20, "b", inf), (21, "b", inf)]
+    df = spark.createDataFrame(rows, "item_id bigint, cat string, price double")
+    found = {r.cat: r for r in percentiles(df, [10, 50, 90], ["cat"]).collect()}
+    assert (found["a"].p10, found["a"].p50, found["a"].p90) == (-inf, 4.5, inf)
+    assert (found["b"].p10, found["b"].p50, found["b"].p90) == (inf, inf, inf)
+    assert sorted(r.item_id for r in trim_by_percentile(df, 20, 90, ["cat"]).collect()) == [2, 3, 4, 5, 6, 7, 8, 9, 20, 21]
+
+
+@pytest.mark.parametrize("max_rows", [1, 20, 10_000])
+def test_texts_at_ranks(spark, max_rows):
+    """Texts with long shared starts, ended texts, zero bytes and characters of several bytes."""
+    rng = random.Random(11)
+    texts = ["", "\0", "a", "a\0", "a\0\0", "é", "\U0001f600"]
+    texts += [f"LISTING-{rng.randint(0, 3000):06d}" for _ in range(400)] + ["LISTING-000007"] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "id string").repartition(3)
+    ordered = sorted(texts, key=lambda t: t.encode())
+    wanted = [1, 2, 3, 4, 5, 6, 50, 200, len(texts) - 1, len(texts)]
+    row = ranks.values_at_ranks(df, [], "id", {f"r{k}": F.lit(k) for k in wanted}, max_rows).first()
+    for k in wanted:
+        assert row[f"r{k}"] == ordered[k - 1]
+        assert row[f"r{k}_below"] == ordered.index(ordered[k - 1])
+
+
+def test_trim_by_rank_with_text_ids(spark):
+    rows = [(f"MLA{i:05d}", "c" if i % 3 else None, float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "item_id string, cat string, price double")
+    kept = {r.item_id for r in trim_by_rank(df, 10, 90, ["cat"]).collect()}
+    expected = set()
+    for cat in ("c", None):
+        own = sorted((p, i) for i, c, p in rows if c == cat)
+        low, high = (math.floor(t / 100.0 * (len(own) + 1.0)) for t in (10, 90))
+        expected |= {i for _, i in own[low : high + 1]}
+    assert kept == expected
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(i, None if i % 2 else "c", float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "item_id bigint, cat string, price double")
+    assert {r.cat: r.n for r in percentiles(df, [10], ["cat"]).collect()} == {None: 50, "c": 50}
+    kept = trim_by_percentile(df, 10, 90, ["cat"]).groupBy("cat").count()
+    report = {r.cat: (r.items, r.kept) for r in trim_report(df, 10, 90, ["cat"]).collect()}
+    assert report == {r.cat: (50, r["count"]) for r in kept.collect()}

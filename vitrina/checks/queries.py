@@ -692,9 +692,10 @@ def evaluator_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split_vectors(spark, sf_dir)
     labels = ln.index_labels_model(train, "cat_0")
     fitted = ln.fit_classifier(train, "cat_0", ln.naive_bayes("bernoulli"), labels)
+    # a test item with a label unseen in training counts as wrong
+    numbered = labels.copy().setHandleInvalid("keep").transform(test)
     predicted = materialize(
-        fitted.transform(labels.transform(test)).select("label", "prediction", "cat_0", "category"),
-        "predicted",
+        fitted.transform(numbered).select("label", "prediction", "cat_0", "category"), "predicted"
     )
     value = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(predicted)
     return accuracy(predicted, "cat_0", "category").withColumn("evaluator", F.lit(value))

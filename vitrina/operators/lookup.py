@@ -12,6 +12,8 @@ shuffled at all. Beyond that there are two ways:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,16 @@ def _hot_condition(
     return power >= cut
 
 
+def null_safe_join(
+    facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False
+) -> DataFrame:
+    """Join on equal columns where a null matches a null; ``small`` broadcasts ``table``."""
+    keys = {c: f"_key_{i}" for i, c in enumerate(on)}
+    renamed = table.withColumnsRenamed(keys)
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return facts.join(F.broadcast(renamed) if small else renamed, same, how).drop(*keys.values())
+
+
 def lookup_join(
     facts: DataFrame,
     table: DataFrame,
@@ -57,19 +69,24 @@ def lookup_join(
     size: Column | None = None,
     max_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``table`` (inner, left or left_semi) on equal columns.
 
     ``table`` should be materialised, since it is measured first. ``frequency`` names its column of
     key frequencies and requires unique keys; the column is not part of the result. ``salt_on`` names
     columns of ``facts`` that vary inside a hot key, such as the item id; without any, all columns
-    are hashed.
+    are hashed. ``null_safe`` lets null keys match each other (not together with ``frequency``).
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
+    if null_safe and frequency:
+        raise ValueError("null_safe and frequency exclude each other")
     on = list(on)
     result = table.drop(frequency) if frequency else table
     if fits_broadcast(table, max_rows, size):
+        if null_safe:
+            return null_safe_join(facts, result, on, how, small=True)
         return facts.join(F.broadcast(result), on, how)
     if frequency:
         hot = _hot_condition(table, frequency, max_rows, size)
@@ -83,4 +100,6 @@ def lookup_join(
     spread = [F.col(f"`{c}`") for c in (salt_on or facts.columns)]
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_table = result.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if null_safe:
+        return null_safe_join(salted_facts, salted_table, [*on, "_salt"], how).drop("_salt")
     return salted_facts.join(salted_table, [*on, "_salt"], how).drop("_salt")

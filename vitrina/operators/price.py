@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.operators.lookup import lookup_join
+from vitrina.operators.lookup import lookup_join, null_safe_join
 from vitrina.operators.ranks import values_at_ranks
 from vitrina.session import materialize
 
@@ -51,7 +51,8 @@ def percentiles(
 
     ``position = tile/100 * (n + 1)``. Its whole part is a 1-based rank, its fraction interpolates
     towards the next value (or not, with ``interpolate=False``). Positions before the first or
-    after the last rank give the smallest or largest value. Groups without a value have no row.
+    after the last rank give the smallest or largest value. Groups without a value have no row; rows
+    with a null group form a group. An infinite lower value is not interpolated.
     """
     by = list(by)
     ranks: dict[str, Column] = {}
@@ -69,7 +70,9 @@ def percentiles(
             position = _position(tile)
             inside = (F.floor(position) > 0) & (F.floor(position) < F.col("total"))
             share = F.when(inside, position - F.floor(position)).otherwise(F.lit(0.0))
-            low = low + share * (F.col(f"{_name(tile)}_hi") - low)
+            high = F.col(f"{_name(tile)}_hi")
+            stays = (share == 0) | (low == high) | (F.abs(low) == float("inf"))
+            low = F.when(stays, low).otherwise(low + share * (high - low))
         outputs.append(low.alias(_name(tile)))
     return found.select(*by, F.col("total").alias("n"), *outputs)
 
@@ -80,10 +83,11 @@ def with_bounds(
     """Attach per-group bounds.
 
     Bounds of the whole set are a single row: its values become literals, so that a filter on them
-    reaches the scan. Bounds of groups are written and looked up.
+    reaches the scan. Bounds of groups are written and looked up; a null group has bounds as well.
     """
     if by:
-        return lookup_join(df, materialize(bounds, "bounds"), by, how, salt_on=["item_id"])
+        bounds = materialize(bounds, "bounds")
+        return lookup_join(df, bounds, by, how, salt_on=["item_id"], null_safe=True)
     row = bounds.first()
     if row is None and how == "inner":
         return df.where(F.lit(False)).select("*", *[F.lit(None).alias(c) for c in bounds.columns])
@@ -133,8 +137,9 @@ def trim_by_rank(
 ) -> DataFrame:
     """Rows at 0-based positions ``floor(bottom/100*(n+1)) .. floor(top/100*(n+1))`` of their group.
 
-    Positions follow ``field``, equal values follow ``item_id``. A group of one row, or one where
-    either position is not positive, is returned whole. Rows without a value have no position.
+    Positions follow ``field``, equal values follow ``item_id`` (a number or a text). A group of one
+    row, or one where either position is not positive, is returned whole, that is all its rows that
+    have a value. Rows without a value have no position.
 
     Positions are turned into thresholds, so no group is sorted: a row stays when
     ``(field, item_id)`` lies between the pairs found at the two ranks.
@@ -166,7 +171,7 @@ def trim_by_rank(
     ids = _tie_thresholds(bounded, by, field, item_id)
     # A group may be missing from the tie table only when it is returned whole.
     if by:
-        bounded = with_bounds(rows, pairs.join(ids, by, "left"), by)
+        bounded = with_bounds(rows, null_safe_join(pairs, ids, by, "left"), by)
     else:
         bounded = with_bounds(bounded, ids, by, how="left")
     value = F.col(field)

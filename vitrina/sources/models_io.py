@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.ml import PipelineModel, Transformer
 
 PREPROCESS = "preProcess"  # fixed value: the name of the shared preprocessing pipeline
@@ -13,8 +15,8 @@ def model_name(level: str, parent: str | None = None) -> str:
 
 
 def _path(root: str, name: str) -> str:
-    safe = name.strip().replace("/", "_")
-    return f"{root.rstrip('/')}/{safe}"
+    """The model's folder; names that differ have folders that differ."""
+    return f"{root.rstrip('/')}/{quote(name.strip(), safe=' ')}"
 
 
 def assemble(*stages: Transformer) -> PipelineModel:
