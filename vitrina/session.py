@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing = [0]  # tables being written under a clean-up setting of ours
+
 
 def local_session(cpus: str = "8", app: str = "vitrina", **conf: str) -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
@@ -64,6 +71,24 @@ def drop_working_tables(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def _shuffle_clean_up(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside removes its shuffle files at its end, unless the session has a setting of its own."""
+    with _lock:
+        ours = bool(_writing[0]) or spark.conf.get(_CLEAN_UP, None) is None
+        if ours:
+            spark.conf.set(_CLEAN_UP, "true")
+            _writing[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            if ours:
+                _writing[0] -= 1
+                if not _writing[0]:
+                    spark.conf.unset(_CLEAN_UP)
+
+
 def materialize(
     df: DataFrame,
     name: str,
@@ -74,12 +99,13 @@ def materialize(
 
     This cuts the lineage, survives the loss of executors, keeps column pruning and filter pushdown
     for the readers, and gives the planner the real size of the table. ``read_as`` replaces the
-    schema it is read with.
+    schema it is read with. Shuffle files of the write go as soon as the table is complete.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _shuffle_clean_up(spark):
+        writer.parquet(path)
     return spark.read.schema(read_as or df.schema).parquet(path)
