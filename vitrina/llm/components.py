@@ -9,10 +9,10 @@ from vitrina.session import materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a vertex is linked with the smallest of its neighbourhood."""
+    """Every larger neighbour of a vertex is linked with the smallest of its neighbourhood; links may repeat."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -224,8 +224,9 @@ class _Join:
         """Links (u, v) among ``pairs`` (a, b), by the full sets of the documents that occur in them."""
         pairs = materialize(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        ids = materialize(wanted.join(self.vertices.select("digest", "doc"), "digest").select("doc").distinct(), "wanted")
-        few = ids.count() <= BROADCAST_IDS
+        wanted = materialize(wanted.join(self.vertices.select("digest", "doc"), "digest"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        ids, wanted = wanted.select("doc"), wanted.select("digest")
         texts = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         sets = materialize(texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
         left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
@@ -283,8 +284,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         large = live.where(F.col("size") > SMALL)
         if not large.take(1):
             break
-        # members of a crowded node are dealt out evenly
-        below = large.repartition("node", "digest").mapInArrow(_children, "node long, digest binary, label binary, sketch binary, n long")
+        # a written table is read in pieces of equal size, so members of a crowded node are many tasks' work
+        below = large.mapInArrow(_children, "node long, digest binary, label binary, sketch binary, n long")
         below = materialize(below, "children")
         live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
         done = done.unionByName(live.where(F.col("size") <= SMALL))
@@ -293,7 +294,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = _tiles(done).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
     more_links = join.confirmed(pairs)
 
-    final = components(links.unionByName(more_links)).withColumnRenamed("vertex", "digest")
+    known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))  # stands for the links found before
+    final = components(known.unionByName(more_links)).withColumnRenamed("vertex", "digest")
     named = join.vertices.select("digest", "doc").join(final, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     ids = named.join(smallest, "label").select("digest", "component_id")
