@@ -301,6 +301,21 @@ def test_benchmark_in_parts(spark, monkeypatch, sf_dir):
     assert whole == parts
 
 
+@pytest.mark.parametrize("step", [1, 7, 100, 1000])
+def test_slices_of_hits_lose_no_text(monkeypatch, step):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(n))
+    items = [prose(30) for _ in range(10)]
+    patterns = decontaminate.Patterns.build(list(range(10)), items)
+    texts = pa.array([f"{prose(i % 5)} {items[i % 10]} {prose(3)}" if i % 3 else prose(20) for i in range(60)])
+    whole = decontaminate.matches(texts, patterns)
+    assert set(whole) == {i for i in range(60) if i % 3}
+    monkeypatch.setattr(decontaminate, "SLICE", step)
+    assert decontaminate.matches(texts, patterns) == whole
+
+
 # --- language identification ---
 
 

@@ -25,6 +25,7 @@ STRIDE = 60
 EDITS_PER_BYTE = 1 / 15
 LEAST = 24  # items of fewer normalised bytes are too short to be told from chance
 PART_BYTES = 8 << 20  # benchmark text that is broadcast at a time
+SLICE = 1 << 18  # q-gram hits counted at a time, and those up to the end of the last one's text
 _FILTER_BITS = 20
 
 _SPACE = np.ones(256, bool)
@@ -141,13 +142,11 @@ def matches(texts: pa.Array, p: Patterns) -> dict[int, dict[int, list[int]]]:
     number = np.bincount(text, minlength=len(starts))
     some = number[text] >= least
     position, key, text = position[some], key[some], text[some]
-    for first in range(0, len(key), 1 << 18):
-        upto = first + (1 << 18)
-        if first and text[first] == text[first - 1]:
-            first = int(np.searchsorted(text, text[first], "right"))
-        if upto < len(text):
-            upto = int(np.searchsorted(text, text[upto], "left")) if text[upto] != text[first if first < len(text) else -1] else int(np.searchsorted(text, text[upto], "right"))
-        _count_bands(data, starts, position[first:upto], key[first:upto], text[first:upto], p, out)
+    begin = 0
+    while begin < len(key):  # a text is never divided: its hits count together
+        upto = int(np.searchsorted(text, text[min(begin + SLICE, len(text)) - 1], "right"))
+        _count_bands(data, starts, position[begin:upto], key[begin:upto], text[begin:upto], p, out)
+        begin = upto
     return out
 
 
