@@ -316,6 +316,31 @@ def test_slices_of_hits_lose_no_text(monkeypatch, step):
     assert decontaminate.matches(texts, patterns) == whole
 
 
+@pytest.mark.parametrize("n", [20, 30, 55])
+def test_exact_excerpts_are_found_wherever_they_begin(n):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(n))
+    item, other = prose(n), prose(30)
+    patterns = decontaminate.Patterns.build([7, 8], [item, other])
+    assert decontaminate.SURE < 80 <= len(item)
+    cuts = [item[k : k + decontaminate.SURE] for k in range(len(item) - decontaminate.SURE + 1)]
+    found = decontaminate.matches(pa.array([f"{prose(12)} {x} {prose(12)}" for x in cuts]), patterns)
+    assert {d: set(x) for d, x in found.items()} == {d: {7} for d in range(len(cuts))}
+
+
+def test_short_items_are_matched_as_whole_words():
+    import pyarrow as pa
+
+    items = [(1, "Yes!"), (2, "forty-two"), (3, "the Nile"), (4, "..."), (5, "forty two"), (6, "a b c d e f g h i j k")]
+    patterns = decontaminate.Patterns.build(*map(list, zip(*items, strict=True)))
+    texts = ["yes", "yesterday", "The\nNILE.", "the nile delta and the nile", "lathe niles", "the", "Nile", "say forty  two, yes", "forty twos", None, "", "a b c d e f g h i j k", "a b c d e f g h i j kl", "forty", "two"]
+    found = decontaminate.matches(pa.array(texts), patterns)
+    assert {d: set(x) for d, x in found.items()} == {0: {1}, 2: {3}, 3: {3}, 7: {1, 2, 5}, 11: {6}}
+    assert found[3][3][2] == 0 and found[7][5][2] == 4
+
+
 # --- language identification ---
 
 

@@ -3,7 +3,9 @@
 Benchmark items are cut into overlapping patterns. A region of a text within ``e`` edits of a pattern of ``m``
 bytes shares at least ``m - q + 1 - q * e`` of its q-grams, on diagonals that lie within ``e`` of
 each other. So shared q-grams are counted in overlapping diagonal bands; regions that reach the
-bound are kept and verified by a banded alignment. Texts are only mapped, never shuffled; the
+bound are kept and verified by a banded alignment. Patterns come in two lengths: the long ones bear more edits,
+the short ones begin so often that an exact excerpt of SURE bytes holds one, wherever it begins. Items too short for
+q-grams are matched exactly, as whole words in a row. Texts are only mapped, never shuffled; the
 patterns are broadcast, in as many parts as their size needs.
 """
 
@@ -17,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.words import LOWER, PIECE, mix, small_batches, text_bytes
+from vitrina.llm.words import LOWER, PIECE, find_words, join_hashes, mix, small_batches, text_bytes, word_hashes
 
 Q = 10
-PATTERN = 120
-STRIDE = 60
+PATTERNS = ((120, 60), (66, 11))  # bytes of a pattern and from one's begin to the next's
+SURE = 66 + 11 - 1  # normalised bytes of an item from which an exact copy is always found
 EDITS_PER_BYTE = 1 / 15
-LEAST = 24  # items of fewer normalised bytes are too short to be told from chance
-PART_BYTES = 8 << 20  # benchmark text that is broadcast at a time
+LEAST = 24  # items of fewer normalised bytes are matched exactly, as whole words
+PART_BYTES = 2 << 20  # benchmark text that is broadcast at a time
 SLICE = 1 << 18  # q-gram hits counted at a time, and those up to the end of the last one's text
 _FILTER_BITS = 20
 
@@ -72,19 +74,25 @@ class Patterns:
     pattern: np.ndarray
     offset: np.ndarray
     filter: np.ndarray
+    brief: dict[int, tuple[np.ndarray, list[tuple[int, bytes]]]]  # items under LEAST by number of words: sorted hashes, items
 
     @staticmethod
     def build(items: list[int], texts: list[str]) -> Patterns:
-        owner, pieces = [], []
+        owner, pieces, short = [], [], []
         data, starts = normalised(pa.array(texts, pa.string()))
         for item, a, b in zip(items, starts[:-1], starts[1:], strict=True):
             text = data[a:b].tobytes().strip()
             if len(text) < LEAST:
+                if text:
+                    short.append((item, text))
                 continue
-            last = max(0, len(text) - PATTERN)
-            for begin in sorted({*range(0, last, STRIDE), last}):
+            cuts = set()
+            for size, stride in PATTERNS:
+                last = max(0, len(text) - size)
+                cuts |= {(begin, min(begin + size, len(text))) for begin in (*range(0, last, stride), last)}
+            for begin, end in sorted(cuts):
                 owner.append(item)
-                pieces.append(text[begin : begin + PATTERN])
+                pieces.append(text[begin:end])
         edits = np.array([int(len(x) * EDITS_PER_BYTE) for x in pieces], np.int64)
         needed = np.array([len(x) - Q + 1 for x in pieces], np.int64) - Q * edits
         codes = [grams(np.frombuffer(x, np.uint8)) for x in pieces]
@@ -95,7 +103,17 @@ class Patterns:
         keys, at = np.unique(every[sort], return_index=True)
         table = np.zeros(1 << _FILTER_BITS, bool)
         table[mix(keys) >> np.uint64(64 - _FILTER_BITS)] = True
-        return Patterns(np.array(owner, np.int64), pieces, edits, np.maximum(needed, 1), keys, np.append(at, len(every)), pattern[sort], offset[sort], table)
+        return Patterns(np.array(owner, np.int64), pieces, edits, np.maximum(needed, 1), keys, np.append(at, len(every)), pattern[sort], offset[sort], table, _brief(short))
+
+
+def _brief(items: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, list[tuple[int, bytes]]]]:
+    out = {}
+    for n in {x.count(b" ") + 1 for _, x in items}:
+        own = [x for x in items if x[1].count(b" ") + 1 == n]
+        codes = join_hashes(word_hashes(find_words(pa.array([x for _, x in own], pa.binary()).cast(pa.string()))), n)[::n]
+        sort = np.argsort(codes, kind="stable")
+        out[n] = codes[sort], [own[i] for i in sort]
+    return out
 
 
 def alignment(pattern: bytes, region: bytes, edits: int) -> int | None:
@@ -138,7 +156,7 @@ def matches(texts: pa.Array, p: Patterns) -> dict[int, dict[int, list[int]]]:
     position, key, text = position[inside], key[inside], text[inside]
     out: dict[int, dict[int, list[int]]] = {}
     # few hits of a text cannot reach any bound, whichever pattern they belong to
-    least = int(p.needed.min())
+    least = int(p.needed.min(initial=1 << 30))
     number = np.bincount(text, minlength=len(starts))
     some = number[text] >= least
     position, key, text = position[some], key[some], text[some]
@@ -147,9 +165,33 @@ def matches(texts: pa.Array, p: Patterns) -> dict[int, dict[int, list[int]]]:
         upto = int(np.searchsorted(text, text[min(begin + SLICE, len(text)) - 1], "right"))
         _count_bands(data, starts, position[begin:upto], key[begin:upto], text[begin:upto], p, out)
         begin = upto
+    if p.brief:
+        _whole_words(data, starts, p, out)
     return out
 
 
+def _whole_words(data, starts, p: Patterns, out: dict) -> None:
+    """Items under LEAST bytes that occur as whole words in a row, by the first place in each text."""
+    words = find_words(pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)))
+    hashes = word_hashes(words)
+    text = np.repeat(np.arange(len(starts) - 1), words.counts())
+    for n, (keys, items) in p.brief.items():
+        codes = join_hashes(hashes, n)
+        first = np.searchsorted(keys, codes)
+        same = (keys[np.minimum(first, len(keys) - 1)] == codes) & (text[: len(codes)] == text[n - 1 :])
+        run = np.flatnonzero(same)
+        _, once = np.unique(text[run] * len(keys) + first[run], return_index=True)
+        for i in run[once]:
+            d, begin = int(text[i]), int(words.begins[i])
+            passage = data[begin : int(words.ends[i + n - 1])].tobytes()
+            for k in range(int(first[i]), int(np.searchsorted(keys, codes[i], "right"))):
+                item, own = items[k]
+                if own == passage:
+                    known = out.setdefault(d, {}).setdefault(item, [0, set(), begin - int(starts[d])])
+                    known[0], known[2] = 0, min(known[2], begin - int(starts[d]))
+                    known[1].add((n, k))
+
+
 def _count_bands(data, starts, position, key, text, p: Patterns, out: dict) -> None:
     if not len(key):
         return
@@ -184,7 +226,7 @@ def _count_bands(data, starts, position, key, text, p: Patterns, out: dict) -> N
 def pattern_parts(benchmark: DataFrame) -> Iterator[Patterns]:
     """Patterns of the benchmark (item_id, text), in parts of about PART_BYTES, which is what the driver holds.
 
-    Null and very short items (under LEAST normalised bytes) have none.
+    Null items and those without a letter or digit have none.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -192,7 +234,7 @@ def pattern_parts(benchmark: DataFrame) -> Iterator[Patterns]:
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect() if parts > 1 else rows.collect()
         built = Patterns.build([r["item_id"] for r in own], [r["text"] for r in own])
-        if len(built.keys):
+        if len(built.keys) or built.brief:
             yield built
 
 
