@@ -201,6 +201,28 @@ def test_near_duplicates_beyond_the_broadcast(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+@pytest.mark.parametrize("dense", [near_dedup.DENSE, 2.0])
+def test_near_duplicates_chained_to_a_large_family(spark, monkeypatch, dense):
+    """Every second text links with one other of the family only; exhaustive or, without dense nodes, by trees."""
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "SMALL", 64)
+    rng = np.random.default_rng(9)
+    base, texts = [f"t{x}" for x in rng.integers(0, 5000, 200)], []
+    new = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    for _ in range(300):
+        k = int(rng.integers(0, 90))
+        linked = base[:k] + new(8) + base[k + 8 :]  # 12 of 196 shingles differ
+        k = int(rng.integers(100, 180))
+        texts += [" ".join(linked), " ".join(linked[:k] + new(20) + linked[k + 20 :])]  # 24 more
+    rows = [(i, t) for i, t in enumerate([" ".join(base), *texts])]
+    found = found_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[0] for r in found if r[2] != 0] == []
+
+
+def test_trees_reach_the_stated_miss():
+    assert near_dedup.tree_miss(near_dedup.TREES) + (1 - near_dedup.THRESHOLD / 100) ** near_dedup.ROOTS <= near_dedup.MISS / 2
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     rows = [r[:2] for r in documents(sf_dir)]
     found = REGISTRY["op6_near_dedup"](spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept")

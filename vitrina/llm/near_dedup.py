@@ -3,8 +3,9 @@
 Documents are sets of word shingles with a minwise signature. Documents with equal sets are one vertex. A
 chosen-path tree branches every vertex by a few selected minwise positions: vertices that agree at a
 chosen position meet in a child node. Nodes that are small are compared exhaustively, larger ones branch
-again by positions that the node's own path selects; what is still large at the end is compared exhaustively as well. Independent trees are repeated until two
-sets at the threshold miss each other with the wanted probability only.
+again by positions that the node's own path selects, in so many independent trees that two sets at the threshold miss
+each other with the wanted probability only; what is still large at the end is compared exhaustively as well. Large nodes whose members
+agree so much that all trees would compare more pairs than there are, are compared exhaustively at once.
 
 Groups of copies never cost all their pairs. A first pass pairs the members of a node with one pivot only,
 the one whose sketch has the node's most frequent values (of a family of copies, the original). Confirmed links are joined to
@@ -33,7 +34,7 @@ from vitrina.session import materialize
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 POSITIONS = 256  # minwise positions of a sketch, of a byte each
-MISS = 1e-6  # of two sets at the threshold, at the roots of all trees
+MISS = 1e-6  # of two sets at the threshold, a quarter of it at the roots and a quarter in the trees below a node
 SMALL = 1024  # members up to which a node is compared exhaustively, in tiles
 TILE = 64  # members on a side of a tile
 DEPTH = 4
@@ -44,7 +45,29 @@ _NODE = ["node", "digest", "label", "sketch", "n"]
 SKETCH_SLACK = 4.0  # standard deviations below the threshold at which a signature still suggests a pair
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
-ROOTS = math.ceil(math.log(MISS) / math.log(1 - THRESHOLD / 100))  # positions at which the roots of all trees branch
+ROOTS = math.ceil(math.log(MISS / 4) / math.log(1 - THRESHOLD / 100))  # positions at which the roots of all trees branch
+
+
+def tree_survival(agreement: float, depth: int = DEPTH) -> float:
+    """Chance that two members of a node with this agreement of sketches meet ``depth`` levels below it, in one tree."""
+    meet = 1.0
+    for _ in range(depth):
+        meet = 1 - (1 - agreement * meet) * (1 - (BRANCHES - 1) * agreement * meet)
+    return meet
+
+
+def agreements(share: float) -> list[float]:
+    """Chance of each number of agreeing positions of two sketches whose sets have this similarity."""
+    return [math.comb(POSITIONS, k) * share**k * (1 - share) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+
+
+def tree_miss(trees: int) -> float:
+    """Chance that two sets at the threshold, both in a large node, meet at the end of none of its trees, which share the sketches."""
+    return sum(x * (1 - tree_survival(k / POSITIONS)) ** trees for k, x in enumerate(agreements(THRESHOLD / 100)))
+
+
+TREES = next(n for n in range(1, 1000) if tree_miss(n) <= MISS / 4)  # independent trees below a large node
+DENSE = TREES ** (-1 / DEPTH) / BRANCHES  # mean agreement in a node from which its trees hold more pairs than itself
 
 _PRINT = "doc_id long, n_shingles long, digest binary, roots binary, sketch binary"
 _SEEDS = mix(np.arange(1, ROOTS + POSITIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
@@ -134,20 +157,35 @@ def _pivots(nodes: DataFrame) -> DataFrame:
     return score.groupBy("node").agg(F.max(F.struct("score", "digest")).alias("best")).select("node", F.col("best.digest").alias("pivot"))
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of large nodes with each child node that the node's path selects."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        nodes = batch.column("node").to_numpy().view(np.uint64)
-        sketch = _sketches(batch.column("sketch"))
-        pick = mix(nodes + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(8)
-        step = mix(pick) % np.uint64(POSITIONS - 1) + np.uint64(1)
-        second = (mix(step + nodes) >> np.uint64(11)) * 2.0**-53 < BRANCHES - 1
-        for branch, some in ((0, np.arange(len(nodes))), (1, np.flatnonzero(second))):
-            at = ((pick + step * np.uint64(branch)) % np.uint64(POSITIONS)).astype(np.int64)[some]
-            child = mix(mix(nodes[some]) + sketch[some, at].astype(np.uint64) * np.uint64(2) + np.uint64(branch + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *[batch.column(c).take(pa.array(some)) for c in _NODE[1:]]], names=_NODE)
+def _children(trees: int):
+    """Members of large nodes with each child node that the node's path selects, in so many trees that begin there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("node").to_numpy().view(np.uint64)
+            sketch = _sketches(batch.column("sketch"))
+            for tree in range(trees):
+                nodes = mix(own + np.uint64(tree) * np.uint64(0x0A942042E4DD58B5)) if tree else own
+                pick = mix(nodes + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(8)
+                step = mix(pick) % np.uint64(POSITIONS - 1) + np.uint64(1)
+                second = (mix(step + nodes) >> np.uint64(11)) * 2.0**-53 < BRANCHES - 1
+                for branch, some in ((0, np.arange(len(nodes))), (1, np.flatnonzero(second))):
+                    at = ((pick + step * np.uint64(branch)) % np.uint64(POSITIONS)).astype(np.int64)[some]
+                    child = mix(mix(nodes[some]) + sketch[some, at].astype(np.uint64) * np.uint64(2) + np.uint64(branch + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *[batch.column(c).take(pa.array(some)) for c in _NODE[1:]]], names=_NODE)
+
+    return run
+
+
+def _dense_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose trees would compare more pairs than the node has, by DENSITY positions."""
+    values = [F.substring("sketch", 1 + k * POSITIONS // DENSITY, 1) for k in range(DENSITY)]
+    entries = nodes.select("node", "size", F.posexplode(F.array(*values)).alias("k", "value"))
+    counts = entries.groupBy("node", "size", "k", "value").agg(F.count(F.lit(1)).alias("n"))
+    share = F.sum(F.col("n").cast("double") * F.col("n")) / (DENSITY * F.first("size").cast("double") * F.first("size"))
+    return counts.groupBy("node").agg(share.alias("share")).where(F.col("share") >= DENSE).select("node")
 
 
 def _suggest(least: float):
@@ -280,12 +318,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = named.join(_open_nodes(named), "node").join(join.vertices.select("digest", "sketch", "n"), "digest")
     live = materialize(live.select("size", *_NODE), "open")
     done = live.where(F.col("size") <= SMALL)
-    for _ in range(DEPTH):
+    crowded = live.where(F.col("size") > SMALL)
+    if crowded.take(1):
+        dense = F.broadcast(materialize(_dense_nodes(crowded), "dense"))
+        done = done.unionByName(crowded.join(dense, "node", "left_semi").select(*done.columns))
+        live = crowded.join(dense, "node", "left_anti").select(*done.columns)
+    for level in range(DEPTH):
         large = live.where(F.col("size") > SMALL)
         if not large.take(1):
             break
         # a written table is read in pieces of equal size, so members of a crowded node are many tasks' work
-        below = large.mapInArrow(_children, "node long, digest binary, label binary, sketch binary, n long")
+        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, label binary, sketch binary, n long")
         below = materialize(below, "children")
         live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
         done = done.unionByName(live.where(F.col("size") <= SMALL))
