@@ -223,6 +223,13 @@ def test_trees_reach_the_stated_miss():
     assert near_dedup.tree_miss(near_dedup.TREES) + (1 - near_dedup.THRESHOLD / 100) ** near_dedup.ROOTS <= near_dedup.MISS / 2
 
 
+@pytest.mark.parametrize("share", [near_dedup.THRESHOLD / 100, near_dedup.RING / 100])
+def test_sketches_miss_no_more_than_stated(share):
+    least = near_dedup.least_agreement(share)
+    below = [math.comb(256, k) * share**k * (1 - share) ** (256 - k) for k in range(257) if k / 256 < least]
+    assert 0 < sum(below) <= near_dedup.MISS / 4
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     rows = [r[:2] for r in documents(sf_dir)]
     found = REGISTRY["op6_near_dedup"](spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept")

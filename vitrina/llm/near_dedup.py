@@ -34,7 +34,7 @@ from vitrina.session import materialize
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 POSITIONS = 256  # minwise positions of a sketch, of a byte each
-MISS = 1e-6  # of two sets at the threshold, a quarter of it at the roots and a quarter in the trees below a node
+MISS = 1e-6  # of two sets at the threshold; a quarter each at the roots, in the trees below a node, by their sketches and by a pivot's
 SMALL = 1024  # members up to which a node is compared exhaustively, in tiles
 TILE = 64  # members on a side of a tile
 DEPTH = 4
@@ -42,7 +42,6 @@ BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked
 DENSITY = 8  # positions of a sketch by which a pivot is chosen
 RING = 2 * THRESHOLD - 100  # per cent: least similarity to a pivot of what links with a neighbour of the pivot
 _NODE = ["node", "digest", "label", "sketch", "n"]
-SKETCH_SLACK = 4.0  # standard deviations below the threshold at which a signature still suggests a pair
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
 ROOTS = math.ceil(math.log(MISS / 4) / math.log(1 - THRESHOLD / 100))  # positions at which the roots of all trees branch
@@ -241,8 +240,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def least_agreement(share: float = THRESHOLD / 100) -> float:
-    """Agreement of two sketches below which their sets are less alike than ``share``."""
-    return share - SKETCH_SLACK * math.sqrt(share * (1 - share) / POSITIONS)
+    """Agreement of two sketches that sets as alike as ``share`` fall below with a quarter of MISS at most."""
+    below = 0.0
+    for k, x in enumerate(agreements(share)):
+        below += x
+        if below > MISS / 4:
+            return k / POSITIONS
+    return 1.0
 
 
 class _Join:
