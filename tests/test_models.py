@@ -240,8 +240,8 @@ def test_named_models_round_trip(words, tmp_path):
     vectorizer = to_vectorizer(vocabulary(words, "words", 100), "words", "features")
     fitted = ln.fit_classifier(vectorizer.transform(words), "cat_0", ln.naive_bayes())
     path = save_model(str(tmp_path), f" {model_name('cat_1', 'x/y')} ", vectorizer, fitted)
-    assert path.endswith("/x_y-cat_1")
-    loaded = load_model(str(tmp_path), "x_y-cat_1")
+    assert path.endswith("/x%2Fy-cat_1")
+    loaded = load_model(str(tmp_path), "x/y-cat_1")
     before = assemble(vectorizer, fitted).transform(words).select("item_id", "category").collect()
     after = loaded.transform(words).select("item_id", "category").collect()
     assert sorted(before) == sorted(after)
