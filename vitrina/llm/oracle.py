@@ -122,5 +122,107 @@ from c join f using (payload_digest)
 """
 
 
+_OP12 = """
+with t as (
+  select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id, strlen(coalesce(text, '')) as bytes,
+    row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as p
+  from conversations where conv_id is not null
+), own as (
+  select conv_id, list({'id': id, 'bytes': bytes} order by p) as l,
+    list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end) as crc
+  from t group by conv_id
+), r as (
+  select o.conv_id, list_concat(case when b.l is null then [] else b.l[1:h] end, o.l[h + 1:]) as l
+  from (select *, xor(crc, 4294967295::bigint) % 9 as h from own) o left join own b on b.conv_id = o.conv_id - o.conv_id % 5
+), p as (
+  select conv_id, len(l) as n, unnest(range(len(l) + 1)) as d, list_transform(l, lambda x: x.id) as ids, list_transform(l, lambda x: x.bytes) as sizes from r
+), m as (
+  select d, array_to_string(ids[1:d], ',') as node, any_value(ids[1:d]) as path, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(any_value(sizes[d]), 0) as bytes, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d) as ends
+  from p group by 1, 2
+), k as (
+  select d - 1 as d, array_to_string(path[1:d - 1], ',') as node, count(*) as n_children from m where d > 0 group by 1, 2
+), x as (
+  select m.*, coalesce(n_children, 0) as n_children from m left join k using (d, node)
+), s as (
+  select up as d, array_to_string(path[1:up], ',') as node, sum(cast(n_children = 0 as bigint)) as n_leaves, sum((n_convs - 1) * bytes) as saved_tokens
+  from (select *, unnest(range(d + 1)) as up from x) group by 1, 2
+)
+select x.conv_id, cast(x.d as bigint) as depth, u.conv_id as parent_conv_id, x.n_convs, x.n_children, cast(n_leaves as bigint) as n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(x.ends, '')) as ends_sha256
+from x join s using (d, node) left join m u on u.d = x.d - 1 and u.node = array_to_string(x.path[1:x.d - 1], ',')
+"""
+
+_OP13 = r"""
+with recursive b0 as (
+  select page_id, coalesce(html, '') as html, case when coalesce(url, '') like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), b1 as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from b0
+), rules(rhost, rpath, rverdict) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), b2 as (
+  select row_number() over () as r, * from b1
+), fits as (
+  select r, arg_max(rhost || rpath, len(rhost || rpath)) as rule, arg_max(rverdict, len(rhost || rpath)) as known
+  from b2 join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by r
+), b as (
+  select b2.*, rule, known, regexp_replace(lower(path), '\p{N}+', '0', 'g') as shape from b2 left join fits using (r)
+), w as (
+  select word, count(*) as n from (select unnest(regexp_extract_all(lower(regexp_replace(html,
+    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|[\p{L}\p{N}-]+\.[\p{L}\p{N}][\p{L}\p{N}.-]*', ' ', 'g')), '\p{L}+')) as word from b0) group by word
+), total as (
+  select greatest(coalesce(sum(n), 0), 10)::double as t from w
+), labels as (
+  select distinct host, string_split(lower(host), '.') as l from b
+), hn as (
+  select host, regexp_extract_all(array_to_string(case when len(l) > 1 then l[1:len(l) - 1] else l end, '.'), '\p{L}+') as names from labels
+), names as (
+  select distinct unnest(names) as name from hn
+), cuts as (
+  select name, i, unnest(range(i + 1, length(name) + 1)) as j from (select name, unnest(range(length(name))) as i from names)
+), c as (
+  select name, i, j, least(cast(round(ln(t / 10) * 1000000) as bigint) + (j - i) * cast(round(ln(10) * 1000000) as bigint),
+    coalesce(case when j - i <= 24 then -cast(round(ln(n / t) * 1000000) as bigint) end, 9000000000000000)) as cost
+  from cuts cross join total left join w on w.word = substr(name, i + 1, j - i)
+), v as (
+  select name, 0::bigint as j, [0::bigint] as costs, [0::bigint] as starts from names
+  union all
+  select v.name, v.j + 1, list_append(v.costs, struct_extract(min({'cost': c.cost + v.costs[c.i + 1], 'i': c.i}), 'cost')), list_append(v.starts, struct_extract(min({'cost': c.cost + v.costs[c.i + 1], 'i': c.i}), 'i'))
+  from v join c on c.name = v.name and c.j = v.j + 1 group by v.name, v.j, v.costs, v.starts
+), k as (
+  select name, j, starts, []::varchar[] as words from v where j = length(name)
+  union all
+  select name, starts[j + 1], starts, list_prepend(substr(name, starts[j + 1] + 1, j - starts[j + 1]), words) from k where j > 0
+), split as (
+  select name, words from k where j = 0
+), ht as (
+  select host, flatten(list(words order by nr)) as tokens from (
+    select host, unnest(names) as name, unnest(range(len(names))) as nr from hn) join split using (name) group by host
+), st as (
+  select distinct shape, list_transform(regexp_extract_all(shape, '\p{L}+|0'), lambda x: '/' || x) as tokens from b
+), seen as (
+  select token, sum(cast(known = 'allow' as bigint)) as a, sum(cast(known = 'block' as bigint)) as z from (
+    select known, unnest(tokens) as token from b join ht using (host) where known is not null
+    union all select known, unnest(tokens) from b join st using (shape) where known is not null) group by token
+), sums as (
+  select (sum(a) + count(*))::double as ta, (sum(z) + count(*))::double as tz from seen
+), weights as (
+  select token, cast(round(ln((a + 1) / ta / ((z + 1) / tz)) * 1000000) as bigint) as weight from seen cross join sums
+), hs as (
+  select host, sum(weight) as s from (select host, unnest(tokens) as token from ht) join weights using (token) group by host
+), ss as (
+  select shape, sum(weight) as s from (select shape, unnest(tokens) as token from st) join weights using (token) group by shape
+), prior as (
+  select cast(round((ln(count(*) filter (known = 'allow') + 1) - ln(count(*) filter (known = 'block') + 1)) * 1000000) as bigint) as p from b
+), f as (
+  select page_id, host, path, rule, known, coalesce(array_to_string(ht.tokens, ' '), '') as host_words, cast(p + coalesce(hs.s, 0) + coalesce(ss.s, 0) as bigint) as micro
+  from b cross join prior left join ht using (host) left join hs using (host) left join ss using (shape)
+)
+select page_id, host, path, rule, coalesce(known, case when micro >= 0 then 'allow' else 'block' end) as verdict, host_words, micro / 1000000.0::double as score from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": _OP1, "op4_licenses": _op4(), "op8_sharding": _op8(), "op9_warc": _OP9, "op3_chat": _OP3}
+    return {"op12_prefix_trie": _OP12, "op13_urls": _OP13, "op1_topk": _OP1, "op4_licenses": _op4(), "op8_sharding": _op8(), "op9_warc": _OP9, "op3_chat": _OP3}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import chat, decontaminate, langid, licences, near_dedup, ngram_lm, packing, sharding, topk, warc
+from vitrina.llm import align, chat, decontaminate, langid, licences, near_dedup, ngram_lm, packing, sharding, topk, trie, urls, warc
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -79,7 +79,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, {"doc_id": F.col("doc_id").cast("long"), "held_out": held})
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents, with corpus-wide counts of linked ids."""
+    return align.corpus_links(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that neighbours share their first turns."""
+    turns, convs = trie.graft_heads(trie.numbered_turns(_table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, convs)
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by rules and by naive Bayes over segmented hosts and paths."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_topk, op2_packing, op3_chat, op4_licenses, op5_lm, op6_near_dedup, op7_decontaminate, op8_sharding, op9_warc, op10_langid)
+    for f in (op1_topk, op2_packing, op3_chat, op4_licenses, op5_lm, op6_near_dedup, op7_decontaminate, op8_sharding, op9_warc, op10_langid,
+              op11_alignment, op12_prefix_trie, op13_urls)
 }
