@@ -108,6 +108,23 @@ def test_pointer_jumping_finds_long_chains():
     assert not len(align.terminals(same[:0], same[:0]))
 
 
+def test_both_ways_of_encoding_agree():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(align.TOKENIZER_A)
+    slow.encode_special_tokens = True
+    a, _ = tokenizers()
+    assert align.merge_ranks(Path(align.TOKENIZER_A).read_text(encoding="utf-8"), a.pieces)
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x250)]
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choices(" \t\n\r\x0b\x0c\x1c\x85\xa0ab'1sd", k=30)) for _ in range(3000)]
+    texts += [" ".join(rng.choices(["can't", "it's", "I'LL", "thé", "2024", "  ", "\n\n", "<|endoftext|>", "ﬁ", "日本"], k=9)) for _ in range(500)]
+    assert a.encode(texts) == [x.ids for x in slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 # --- trie ---
 
 

@@ -12,6 +12,7 @@ A link is a pair of an A and a B token that end together: the last tokens of a g
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -51,8 +52,33 @@ class Side:
         return b"".join(map(self.pieces.__getitem__, ids)) == data
 
 
+#: The split pattern of the byte-level pre-tokenizer (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SAME_CLASSES = "\u0250"  # every version of Unicode classes the characters below alike, so both libraries split alike
+
+
+def merge_ranks(a_json: str, spelled: list[bytes]) -> dict[bytes, int] | None:
+    """Bytes of all tokens with their ids, if the tokenizer is a plain byte-level BPE whose ids follow its merges."""
+    spec = json.loads(a_json)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if not plain or spec.get("normalizer") or any(model.get(x) for x in odd):
+        return None
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    singles = [i for name, i in model["vocab"].items() if len(name) == 1]
+    if ids != sorted(set(ids)) or len(singles) != 256 or max(singles) >= min(ids, default=256):
+        return None
+    return {spelled[i]: i for i in (*singles, *ids)}
+
+
 def load_sides(a_json: str, b_model: bytes) -> tuple[Side, Side]:
-    """Both tokenizers from the contents of their files; special tokens inside texts are plain text."""
+    """Both tokenizers from the contents of their files; special tokens inside texts are plain text.
+
+    A plain byte-level BPE is also loaded as ranks of merges: texts of Latin letters are encoded with these, which gives
+    the same ids at a third of the cost; all others go through the tokenizer itself.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import sentencepiece
     from tokenizers import Tokenizer
@@ -71,8 +97,19 @@ def load_sides(a_json: str, b_model: bytes) -> tuple[Side, Side]:
         for i in range(b.vocab_size())
     ]
 
+    ranks = merge_ranks(a_json, spelled)
+    quick = None
+    if ranks:  # the same merges by a faster library
+        import tiktoken
+
+        quick = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
     def encode_a(texts: list[str]) -> list:
-        return [x.ids for x in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        out = [quick.encode_ordinary(" " + t) if quick and max(t, default="") < SAME_CLASSES else None for t in texts]
+        slow = [i for i, ids in enumerate(out) if ids is None]
+        for i, code in zip(slow, a.encode_batch_fast([" " + texts[i] for i in slow], add_special_tokens=False), strict=True):
+            out[i] = code.ids
+        return out
 
     return Side(encode_a, spelled), Side(lambda texts: b.encode(texts, num_threads=1), pieces)
 
