@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.tokens import explode_rows
 from vitrina.operators.lookup import lookup_join
+from vitrina.operators.vocabulary import ROW
 from vitrina.session import materialize
 
 TABLES = ("classes", "weights", "lists")
@@ -36,6 +37,13 @@ ROW_COST = 4  # a row of weights takes the room of this many cells
 SCORE_DIGITS = 6  # scores are compared after rounding, equal ones go to the lower label
 
 
+def numbered(features: DataFrame) -> DataFrame:
+    """The same rows with a ``row_id``, which ``item_terms`` gives; other tables are written with one."""
+    if ROW in features.columns:
+        return features
+    return materialize(features.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 @dataclass(frozen=True)
 class Level:
     """One model per value of ``parent`` over the values of ``target``.
@@ -92,6 +100,7 @@ def fit_bayes(
     """
     if kind not in ("bernoulli", "multinomial"):
         raise ValueError(f"unknown kind {kind!r}")
+    features = numbered(features)
     names = list(dict.fromkeys(c for lv in levels for c in (lv.parent, lv.target) if c))
     used = [f"use_{i}" for i in range(len(levels))]
     flags = [
@@ -115,10 +124,10 @@ def fit_bayes(
     )
     weight = F.lit(1) if kind == "bernoulli" else F.col("_t.tf")
     located = lookup_join(
-        comparable(features.select("item_id", *names, *flags, "terms")),
+        comparable(features.select(ROW, *names, *flags, "terms")),
         comparable(paths.select(*names, "path")),
         names,
-        salt_on=["item_id"],
+        salt_on=[ROW],
     )
     cells = materialize(
         explode_rows(located.select("path", *used, "terms"), "terms", "_t")
@@ -248,7 +257,7 @@ def predict(
     parent: Column | None = None,
     carry: Sequence[str] = (),
     item_id: str = "item_id",
-    by_item: bool = False,
+    by_row: bool = False,
     max_cells: int = MAX_BROADCAST_CELLS,
 ) -> DataFrame:
     """Predicted class of every item at one level.
@@ -257,10 +266,12 @@ def predict(
     model if not given). The result has the item id, the ``carry`` columns, ``prediction``, ``label``
     and ``score``; an item whose parent has no model gets nulls.
 
-    The terms are distributed by item id once (not again if ``by_item`` says that they are); with
-    broadcast weights both aggregations below reuse that distribution.
+    Rows are told apart by ``row_id``, so item ids may be null or repeated: as many rows come out as go in.
+    The terms are distributed by it once (not again if ``by_row`` says that they are); with broadcast weights both
+    aggregations below reuse that distribution.
     """
-    carry = list(carry)
+    features, keep_row = numbered(features), ROW in carry
+    carry = [c for c in carry if c != ROW]
     weights = model.weights.where(F.col("level") == level)
     terms = F.col("terms")
     if model.kind == "bernoulli":
@@ -270,19 +281,19 @@ def predict(
     lists = model.lists.where(F.col("level") == level)
     items = lookup_join(
         features.select(
-            item_id, *carry, (parent if parent is not None else F.lit(ROOT)).alias("parent"),
+            ROW, item_id, *carry, (parent if parent is not None else F.lit(ROOT)).alias("parent"),
             known.alias("_m"), "terms",
         ),
         lists.select("parent", "model"),
         ["parent"],
         how="left",
-        salt_on=[item_id],
+        salt_on=[ROW],
     )
-    tokens = items.select(item_id, "model", "terms").where(F.col("model").isNotNull())
+    tokens = items.select(ROW, "model", "terms").where(F.col("model").isNotNull())
     tokens = (
-        (tokens if by_item else tokens.repartition(item_id))
-        .select(item_id, "model", F.explode_outer("terms").alias("_t"))
-        .select(item_id, "model", F.col("_t.index").alias("index"), F.col("_t.tf").alias("tf"))
+        (tokens if by_row else tokens.repartition(ROW))
+        .select(ROW, "model", F.explode_outer("terms").alias("_t"))
+        .select(ROW, "model", F.col("_t.index").alias("index"), F.col("_t.tf").alias("tf"))
         .where(F.col("index").isNotNull())
     )
     matched = lookup_join(
@@ -292,14 +303,14 @@ def predict(
         frequency="frequency",
         size=F.size("cells") + ROW_COST,
         max_rows=max_cells,
-    ).select(item_id, "tf", F.explode("cells").alias("_c"))
+    ).select(ROW, "tf", F.explode("cells").alias("_c"))
     gain = F.col("_c.gain")
     if model.kind == "multinomial":
         gain = gain * F.col("tf")
     gains = (
-        matched.groupBy(item_id, F.col("_c.label").alias("label"))
+        matched.groupBy(ROW, F.col("_c.label").alias("label"))
         .agg(F.sum(gain).alias("gain"))
-        .groupBy(item_id)
+        .groupBy(ROW)
         .agg(F.collect_list(F.struct("label", "gain")).alias("_gains"))
     )
 
@@ -316,13 +327,15 @@ def predict(
         F.transform("_gains", lambda g: candidate(F.get(F.col("list"), g["label"]), g["gain"]))
     )
     best = F.greatest(without_gain, with_gain)
-    summed = items.select(item_id, *carry, "model", "_m").join(gains, item_id, "left")
+    summed = items.select(ROW, item_id, *carry, "model", "_m").join(gains, ROW, "left")
     # Class lists join last, so that no shuffle repeats them per item.
     listed = lookup_join(
-        summed, lists.select("model", "list"), ["model"], how="left", salt_on=[item_id],
+        summed, lists.select("model", "list"), ["model"], how="left", salt_on=[ROW],
         size=F.size("list"),
     )
-    return listed.select(item_id, *carry, best.alias("_best")).select(
+    rows = [ROW] if keep_row else []
+    return listed.select(*rows, item_id, *carry, best.alias("_best")).select(
+        *rows,
         item_id,
         *carry,
         F.col("_best.class").alias("prediction"),

@@ -28,6 +28,7 @@ class Limits:
 GRAM_LIMITS = {1: Limits(60_000, 100), 2: Limits(30_000, 50), 3: Limits(30_000, 50)}
 
 RANK_PARTS = 32
+ROW = "row_id"  # numbers the rows of an item_terms table
 
 # How a sparse vector is stored.
 SPARSE = T.StructType(
@@ -158,10 +159,13 @@ def item_terms(
     """One row per item: the ``keep`` columns and ``terms array<struct<index, tf>>`` in vocabulary.
 
     This is the written table that training and scoring read. Items without a known term keep an
-    empty array. A vocabulary of at most ``max_terms`` terms is broadcast inside an ML vectorizer and
-    nothing is shuffled; a larger one is joined.
+    empty array. Rows are numbered in ``row_id`` (taken over if ``items`` has it), so ids may be null or repeated.
+    A vocabulary of at most ``max_terms`` terms is broadcast inside an ML vectorizer and nothing is shuffled; a
+    larger one is joined.
     """
-    counted = items.select(item_id, *keep, (F.col(terms) if isinstance(terms, str) else terms).alias("_terms"))
+    row = F.col(ROW) if ROW in items.columns else F.monotonically_increasing_id()
+    keep = [c for c in keep if c != ROW]
+    counted = items.select(row.alias(ROW), item_id, *keep, (F.col(terms) if isinstance(terms, str) else terms).alias("_terms"))
     if fits_broadcast(vocab, max_terms):
         vectors = to_vectorizer(vocab, "_terms", "_vector", binary=False).transform(counted)
         vectors = vectors.drop("_terms")
@@ -173,10 +177,12 @@ def item_terms(
             "_vector.values",
             lambda i, v: F.struct(i.alias("index"), v.cast("bigint").alias("tf")),
         )
-        return rows.select(item_id, *keep, pairs.alias("terms"))
+        return rows.select(ROW, item_id, *keep, pairs.alias("terms"))
+    if ROW not in items.columns:
+        counted = materialize(counted, "numbered")  # both sides of the join below read the same numbers
     exploded = counted.select(
-        item_id, F.explode_outer(term_runs("_terms")).alias("_run")
-    ).select(item_id, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf"))
+        ROW, F.explode_outer(term_runs("_terms")).alias("_run")
+    ).select(ROW, F.col("_run.term").alias("term"), F.col("_run.tf").alias("tf"))
     known = (
         lookup_join(
             exploded.where(F.col("term").isNotNull()),
@@ -185,11 +191,11 @@ def item_terms(
             frequency="df",
             max_rows=max_terms,
         )
-        .groupBy(item_id)
+        .groupBy(ROW)
         .agg(F.collect_list(F.struct("index", "tf")).alias("terms"))
     )
     empty = F.array().cast("array<struct<index:int,tf:bigint>>")
-    joined = counted.select(item_id, *keep).join(known, item_id, "left")
+    joined = counted.select(ROW, item_id, *keep).join(known, ROW, "left")
     return materialize(
         joined.withColumn("terms", F.coalesce("terms", empty)), "item-terms"
     )

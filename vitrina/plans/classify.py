@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.operators.bayes import ROOT, BayesModel, Level, fit_bayes, predict
+from vitrina.operators.bayes import ROOT, ROW, TABLES, BayesModel, Level, fit_bayes, numbered, predict
 from vitrina.operators.evaluate import accuracy
+from vitrina.operators.logistic import BLOCK_CELLS, fit_logistic
 from vitrina.operators.price import trim_bounds, with_bounds
 from vitrina.operators.split import in_train
 from vitrina.operators.vocabulary import Limits, gram_vocabulary, item_terms
@@ -48,10 +49,11 @@ def build_features(
     from those items only."""
     limits = limits or {1: Limits(60_000, 5)}
     words = with_words(items, version=version, plain=plain).select("item_id", *keep, "words")
-    # The text rules cost most; their result is written once for the two passes that follow.
-    words = materialize(words, "words")
+    # The text rules cost most; their result is written once for the two passes that follow. Rows get a
+    # number there, since item ids may be null or repeated.
+    words = materialize(words.withColumn(ROW, F.monotonically_increasing_id()), "words")
     terms = terms_of("words", tuple(limits), stop_words, ngram_source)
-    tokens = words.select("item_id", *keep, terms.alias("terms"))
+    tokens = words.select(ROW, "item_id", *keep, terms.alias("terms"))
     known = tokens.where(F.col(train_on)) if train_on else tokens
     vocab = materialize(gram_vocabulary(known, "terms", limits), "vocabulary")
     return Features(tokens, vocab, vocab.count(), item_terms(tokens, "terms", vocab, keep))
@@ -93,6 +95,13 @@ def fit_hierarchy(
     Each child set is trimmed by the price percentiles of its parent category; the root is trimmed
     only on request. All models of all levels come out of one grouped aggregation.
     """
+    return fit_bayes(*_planned(features, levels, trim, root_trim), features.size, kind, smoothing)
+
+
+def _planned(
+    features: Features, levels: Sequence[str], trim: tuple[float, float] | None, root_trim: tuple[float, float] | None
+) -> tuple[DataFrame, list[Level]]:
+    """Item terms with a flag per trimmed level, and the levels."""
     table = features.terms
     plan: list[Level] = []
     for depth, target in enumerate(levels):
@@ -102,7 +111,42 @@ def fit_hierarchy(
         if tiles:
             table = mark_trimmed(table, [parent] if parent else [], *tiles, keep)
         plan.append(Level(target, parent, keep))
-    return fit_bayes(table, plan, features.size, kind, smoothing)
+    return table, plan
+
+
+BAYES, LOGISTIC = "bayes", "logistic"
+
+
+def fit_mixed(
+    features: Features,
+    learners: Sequence[str] = (BAYES, BAYES, LOGISTIC),
+    levels: Sequence[str] = LEVELS,
+    trim: tuple[float, float] | None = CHILD_TRIM,
+    root_trim: tuple[float, float] | None = None,
+    smoothing: float = 1.0,
+    max_iter: int = 100,
+    reg: float = 0.0,
+    block_cells: int = BLOCK_CELLS,
+) -> BayesModel:
+    """A hierarchy whose levels have a learner each: Bernoulli Bayes or logistic regression.
+
+    Both end in the same tables (a class scores its intercept and the gains of its terms), so ``cascade`` routes
+    rows by predicted parent through all levels, and the model is saved and loaded like one of Bayes only.
+    Levels of one learner are fitted together.
+    """
+    if len(learners) != len(levels) or set(learners) - {BAYES, LOGISTIC}:
+        raise ValueError(f"one learner per level, {BAYES!r} or {LOGISTIC!r}: {learners!r}")
+    table, plan = _planned(features, levels, trim, root_trim)
+    table = materialize(table, "planned")
+    by = {kind: [lv for lv, chosen in zip(plan, learners, strict=True) if chosen == kind] for kind in (BAYES, LOGISTIC)}
+    fitted = []
+    if by[BAYES]:
+        fitted.append(fit_bayes(table, by[BAYES], features.size, "bernoulli", smoothing))
+    if by[LOGISTIC]:
+        fitted.append(fit_logistic(table, by[LOGISTIC], max_iter, reg, block_cells=block_cells).linear())
+    if len(fitted) == 1:
+        return fitted[0]
+    return BayesModel("bernoulli", *[getattr(fitted[0], t).unionByName(getattr(fitted[1], t)) for t in TABLES])
 
 
 def classify(
@@ -124,20 +168,22 @@ def cascade(
 ) -> DataFrame:
     """Predict level by level: each prediction picks the model of the next level.
 
-    ``item_id`` and one ``predicted_<level>`` column per level.
+    ``item_id`` and one ``predicted_<level>`` column per level; as many rows as ``terms`` has, also where
+    item ids are null or repeated.
     """
-    table = terms.select("item_id", "terms")
+    terms = numbered(terms)
+    table = terms.select(ROW, "item_id", "terms")
     done: list[str] = []
     for depth, level in enumerate(levels):
         parent = F.coalesce(F.col(done[-1]), F.lit(ROOT)) if depth else None
-        found = predict(table, model, level, parent, carry=done, by_item=depth > 0)
+        found = predict(table, model, level, parent, carry=[ROW, *done], by_row=depth > 0)
         name = f"predicted_{level}"
-        found = found.select("item_id", *done, F.col("prediction").alias(name))
+        found = found.select(ROW, "item_id", *done, F.col("prediction").alias(name))
         done.append(name)
         # Written per level: the next level reads it twice at most and never repeats this one.
         found = materialize(found, f"cascade-{level}")
-        table = terms.select("item_id", "terms").join(found, "item_id")
-    return found
+        table = terms.select(ROW, "terms").join(found, ROW)
+    return found.drop(ROW)
 
 
 def holdout_accuracy(
