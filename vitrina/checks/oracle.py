@@ -475,6 +475,26 @@ def _hier_model_query() -> str:
     )
 
 
+LABELLED = (
+    "labelled AS MATERIALIZED (SELECT d.doc_id AS item_id, text AS title, lang AS cat_0, "
+    "lang || '/' || coalesce(quality::VARCHAR, 'u') AS cat_1, lang || '/' || coalesce(quality::VARCHAR, 'u') "
+    "|| '/' || coalesce(toxic::VARCHAR, 'u') AS cat_2 FROM documents d LEFT JOIN labels USING (doc_id))"
+)
+
+
+def _grouped_query() -> str:
+    """Size, classes and terms of the models of three levels."""
+    parts = []
+    for target, parent in zip(CATS, ("''", "cat_0", "cat_1"), strict=True):
+        parts.append(
+            f"SELECT '{target}' AS level, {parent} AS parent, count(DISTINCT w.item_id) AS items, "
+            f"count(DISTINCT {target}) AS classes, CASE WHEN count(DISTINCT {target}) > 1 THEN count(DISTINCT index) "
+            f"ELSE 0 END::INTEGER AS terms, true AS beats_priors FROM words w LEFT JOIN known USING (item_id) "
+            f"WHERE {target} IS NOT NULL GROUP BY ALL"
+        )
+    return with_ctes(*pipeline(LABELLED, "labelled", GRAMS), select=" UNION ALL ".join(parts))
+
+
 def _holdout_query(target: str, parent: str | None, trim: bool) -> str:
     key = parent or "''"
     ctes = [DOC_ITEMS]
@@ -765,6 +785,23 @@ def oracle_sql() -> dict[str, str]:
         "nb_cascade": with_ctes(
             *hierarchy_ctes(DOC_ITEMS, "doc_items", GRAMS), *cascade_ctes(), select=CASCADE
         ),
+        "nb_cascade_repeated": with_ctes(
+            *hierarchy_ctes(DOC_ITEMS, "doc_items", GRAMS),
+            *cascade_ctes(),
+            f"found AS ({CASCADE})",
+            select="SELECT CASE WHEN item_id % 10 <> 0 THEN item_id % 50 END AS item_id, predicted_cat_0, "
+            "predicted_cat_1, predicted_cat_2, count(*) AS n FROM found GROUP BY ALL",
+        ),
+        "mixed_cascade": with_ctes(
+            *hierarchy_ctes(DOC_ITEMS, "doc_items", GRAMS),
+            *cascade_ctes(),
+            f"found AS ({CASCADE})",
+            select="SELECT item_id, predicted_cat_0, predicted_cat_1, "
+            "CASE WHEN predicted_cat_2 IS NOT NULL THEN true END AS leaf_is_child FROM found",
+        ),
+        "logreg_grouped": _grouped_query(),
+        "price_positions": "SELECT l_orderkey * 10 + l_linenumber AS item_id, l_quantity AS price, "
+        "row_number() OVER (ORDER BY l_quantity, l_orderkey * 10 + l_linenumber) - 1 AS position FROM lineitem",
         "nb_hier_parts": with_ctes(
             *hierarchy_ctes(PART_ITEMS, "part_items", {1: (1000, 2), 2: (1000, 2)}),
             *cascade_ctes(),

@@ -9,6 +9,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, StringIndexer, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrina.functions.normalize import normalize_title
@@ -17,10 +18,12 @@ from vitrina.functions.tokens import ngrams, plain_tokens, regex_tokens, without
 from vitrina.operators import labels as lb
 from vitrina.operators import learners as ln
 from vitrina.operators import vectors as vc
-from vitrina.operators.bayes import BayesModel, conditional_weights
+from vitrina.operators.bayes import BayesModel, Level, conditional_weights
 from vitrina.operators.chisq import select_terms
 from vitrina.operators.counts import distinct_counts, distinct_keys, word_count
 from vitrina.operators.evaluate import accuracy, accuracy_by_category
+from vitrina.operators.logistic import fit_logistic
+from vitrina.operators.positions import dense_positions
 from vitrina.operators.price import (
     outlier_band,
     percentiles,
@@ -361,6 +364,15 @@ def trim_rank_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trim_by_rank(lines, 5, 95, ["cat_0"])
 
 
+@query
+def price_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every line item in the order of quantities, a few values with very many ties each."""
+    lines = tb.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_quantity").alias("price")
+    )
+    return dense_positions(lines.where(F.col("price").isNotNull()), ["price", "item_id"])
+
+
 @query
 def priced_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of one category that have a price."""
@@ -467,6 +479,55 @@ def nb_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.cascade(features.terms, model)
 
 
+def _repeated(items: DataFrame) -> DataFrame:
+    """The same items under ids of which many are equal and some null."""
+    return items.withColumn("item_id", F.when(F.col("item_id") % 10 != 0, F.col("item_id") % 50))
+
+
+@query
+def nb_cascade_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a repeated or null id is predicted from its own terms: rows per id and prediction."""
+    items = _repeated(tb.document_items(spark, sf_dir))
+    features = cl.build_features(items, [*CATS, "price"], GRAMS)
+    found = cl.cascade(features.terms, cl.fit_hierarchy(features))
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = cl.build_features(_documents(spark, sf_dir), [*CATS, "price"], GRAMS)
+    return cl.cascade(features.terms, cl.fit_mixed(features))
+
+
+@query
+def mixed_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main program's hierarchy: Bayes for cat_0 and cat_1, logistic regression for cat_2, by predicted parent.
+
+    Shown is what SQL can tell: the Bayes levels, and that the leaf is a child of the predicted parent.
+    """
+    child = F.startswith(F.col("predicted_cat_2"), F.concat("predicted_cat_1", F.lit("/")))
+    return _mixed(spark, sf_dir).select("item_id", "predicted_cat_0", "predicted_cat_1", child.alias("leaf_is_child"))
+
+
+@query
+def mixed_cascade_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the same hierarchy next to the true ones."""
+    found = _mixed(spark, sf_dir).select("item_id", "predicted_cat_2")
+    return _documents(spark, sf_dir).select("item_id", "cat_2").join(found, "item_id")
+
+
+@query
+def logreg_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All logistic regressions of three levels in one loop; per model what SQL can tell, and that it beats its priors."""
+    features = cl.build_features(tb.labelled_items(spark, sf_dir), [*CATS], GRAMS)
+    levels = [Level("cat_0"), Level("cat_1", "cat_0"), Level("cat_2", "cat_1")]
+    models = fit_logistic(features.terms, levels)
+    counts = models.classes.groupBy("level", "parent").agg(F.collect_list("items").alias("sizes"))
+    entropy = F.aggregate("sizes", F.lit(0.0), lambda a, n: a - n / F.col("items") * F.log(n / F.col("items")))
+    return models.summary.join(counts, ["level", "parent"]).select(
+        "level", "parent", "items", "classes", "terms", (F.coalesce("loss", F.lit(0.0)) <= entropy + 1e-9).alias("beats_priors")
+    )
+
+
 @query
 def nb_under_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, model = _hierarchy(spark, sf_dir, WORDS)
@@ -651,10 +712,21 @@ def _holdout(learner: Callable) -> Query:
     return run
 
 
-REGISTRY["logreg"] = _holdout(lambda: ln.logistic_regression(maxIter=20, regParam=0.01))
-REGISTRY["logreg_multinomial"] = _holdout(
-    lambda: ln.logistic_regression("multinomial", maxIter=20, regParam=0.01)
-)
+def _logistic(family: str) -> Query:
+    """Hold-out categories under the full vocabularies, 100 iterations and no penalty."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flagged = _documents(spark, sf_dir).withColumn("_train", in_train())
+        features = cl.build_features(flagged, ["cat_0", "_train"], GRAM_LIMITS, train_on="_train")
+        model = fit_logistic(features.terms, [Level("cat_0", keep="_train")], family=family).linear()
+        found = cl.classify(features.terms.where(~F.col("_train")), model, "cat_0", ["cat_0"])
+        return found.select("item_id", "cat_0", F.col("prediction").alias("category"))
+
+    return run
+
+
+REGISTRY["logreg"] = _logistic("auto")
+REGISTRY["logreg_multinomial"] = _logistic("multinomial")
 REGISTRY["decision_tree"] = _holdout(lambda: ln.decision_tree(30))
 REGISTRY["random_forest_deep"] = _holdout(lambda: ln.random_forest(8, 50))
 REGISTRY["nb_ml"] = _holdout(lambda: ln.naive_bayes("bernoulli"))
@@ -704,29 +776,31 @@ def evaluator_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def logreg_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One logistic regression per language over trimmed rows, each with its own label index."""
-    rows = _vectors(spark, sf_dir, tb.labelled_items(spark, sf_dir))
-    rows = materialize(rows.drop("title"), "vectors")
-    models = ln.fit_per_group(
-        rows, "cat_0", "cat_1", lambda: ln.logistic_regression(maxIter=10, regParam=0.01)
-    )
-    return models.transform(rows).select("item_id", "cat_0", "cat_1", "category")
+    features = cl.build_features(tb.labelled_items(spark, sf_dir), ["cat_0", "cat_1", "price"], GRAM_LIMITS)
+    table = cl.mark_trimmed(features.terms, ["cat_0"], *cl.CHILD_TRIM, "_kept")
+    model = fit_logistic(table, [Level("cat_1", "cat_0", "_kept")]).linear()
+    found = cl.classify_under_parent(features.terms, model, "cat_1", "cat_0", ["cat_0", "cat_1"])
+    return found.select("item_id", "cat_0", "cat_1", F.col("prediction").alias("category"))
+
+
+#: Limits of words, 2-grams and 3-grams, and the number of terms selected among all of them.
+SELECT_LIMITS = {1: Limits(300_000, 50), 2: Limits(100_000, 50), 3: Limits(100_000, 50)}
+SELECTED = 30_000
 
 
 @query
 def hier_logreg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chi-square-selected terms, labels indexed globally, logistic regression at all levels."""
+    """Terms selected by chi-square against cat_2 among words, 2-grams and 3-grams without a stop list; logistic
+    regression at all levels, the root trimmed too; predictions go down by predicted parent."""
     items = tb.labelled_items(spark, sf_dir)
-    features = cl.build_features(items, [*CATS, "price"], {1: Limits(300_000, 50)})
-    chosen = select_terms(features.terms, features.vocabulary, "cat_2", 500)
-    vectorizer = to_vectorizer(chosen, "terms", "features", binary=True)
-    rows = materialize(vectorizer.transform(features.tokens).drop("terms"), "vectors")
-    levels = ln.fit_levels(
-        rows, CATS, lambda: ln.logistic_regression(maxIter=10, regParam=0.01), label_scope="global"
-    )
-    result = rows.select("item_id", *CATS, "features")
-    for depth, models in enumerate(levels):
-        result = models.transform(result).withColumnRenamed("category", f"predicted_{CATS[depth]}")
-    return result.drop("features")
+    features = cl.build_features(items, [*CATS, "price"], SELECT_LIMITS, stop_words=[])
+    chosen = select_terms(features.terms, features.vocabulary, "cat_2", SELECTED)
+    vocab = features.vocabulary.join(chosen.select("index"), "index")
+    vocab = materialize(vocab.withColumn("index", (F.row_number().over(W.orderBy("index")) - 1).cast("int")), "selected")
+    terms = item_terms(features.tokens, "terms", vocab, [*CATS, "price"])
+    selected = cl.Features(features.tokens, vocab, vocab.count(), terms)
+    model = cl.fit_mixed(selected, ("logistic",) * 3, root_trim=(2, 98))
+    return items.select("item_id", *CATS).join(cl.cascade(terms, model), "item_id")
 
 
 @query

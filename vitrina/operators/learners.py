@@ -95,13 +95,19 @@ def fit_perceptron(
     return PipelineModel(stages=[selector, network.fit(selector.transform(labelled)), decoder])
 
 
+def _folder(value: str | None) -> str:
+    """A group's folder key: never empty, and a null group differs from every text."""
+    return "null" if value is None else f"={value}"
+
+
 def _by_group(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Rows written with one folder per group.
+    """Rows written with one folder per group, null and empty ones included.
 
     The rebalance hint gathers a small group into few files and lets adaptive execution split the
     partition of a dominant one.
     """
-    rows = df.withColumn("_group", F.col(group)).hint("rebalance", "_group")
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit("null"))
+    rows = df.withColumn("_group", key).hint("rebalance", "_group")
     return materialize(rows, name, ["_group"])
 
 
@@ -111,15 +117,16 @@ class GroupModels:
 
     group: str | None
     target: str
-    models: dict[str, PipelineModel] = field(default_factory=dict)
-    constants: dict[str, str] = field(default_factory=dict)
+    models: dict[str | None, PipelineModel] = field(default_factory=dict)
+    constants: dict[str | None, str] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, group: str | None = None, threads: int = 4) -> DataFrame:
         """Attach ``category``; every group's rows go through its own pipeline.
 
         Rows are written once by group, so each pipeline reads its own folder only. The groups are
         scored as separate jobs, a few at a time: one plan over thousands of pipelines would not be
-        planned in reasonable time. Rows of groups without a model, or without a group, get a null category.
+        planned in reasonable time. A null group is a group like any other; rows of groups without a model get
+        a null category.
         """
         group = group or self.group
         spark, columns = df.sparkSession, df.columns
@@ -132,21 +139,21 @@ class GroupModels:
             scored.select(*columns, "category").write.parquet(path)
             return path
 
-        def score(number: int, key: str) -> str:
-            own = rows.where(F.col("_group") == key) if group else rows
+        def score(number: int, key: str | None) -> str:
+            own = rows.where(F.col("_group") == _folder(key)) if group else rows
             return write(number, self.models[key].transform(own))
 
-        keys = sorted(self.models)
+        keys = sorted(self.models, key=_folder)
         with ThreadPoolExecutor(max_workers=threads) as pool:
             paths = list(pool.map(score, range(len(keys)), keys))
         if self.constants:
-            value = F.create_map(*[F.lit(x) for kv in self.constants.items() for x in kv])
-            own = rows.where(F.col("_group").isin(list(self.constants))) if group else rows
-            key = F.col("_group") if group else F.lit("")
+            value = F.create_map(*[F.lit(x) for k, v in self.constants.items() for x in (_folder(k), v)])
+            own = rows.where(F.col("_group").isin([_folder(k) for k in self.constants])) if group else rows
+            key = F.col("_group") if group else F.lit(_folder(""))
             paths.append(write(len(keys), own.withColumn("category", F.element_at(value, key))))
         if group:
-            known = [*self.models, *self.constants]
-            none = rows.where(~F.coalesce(F.col("_group").isin(known), F.lit(False)))
+            known = [_folder(k) for k in (*self.models, *self.constants)]
+            none = rows.where(~F.col("_group").isin(known))
             paths.append(write(len(keys) + 1, none.withColumn("category", F.lit(None).cast("string"))))
         return spark.read.schema(schema).parquet(*paths)
 
@@ -164,18 +171,19 @@ def fit_per_group(
 
     The rows are trimmed for all groups in one job and written partitioned by group, so each fit
     reads its own folder only and is itself a distributed Spark job. The driver sees the list of
-    groups and classes, never rows.
+    groups and classes, never rows. Null, empty and odd group names have models of their own; a group in which no
+    row has a class has none. ``logistic.fit_logistic`` fits logistic regressions of all groups in one loop.
     """
     kept = trim_by_percentile(df, *trim, by=[group] if group else []) if trim else df
     kept = kept.select(*dict.fromkeys([c for c in (group, target, "features") if c]))
     if group:
         kept = _by_group(kept, group, "group-rows")
-        key = F.col("_group")
+        key, folder = F.col(f"`{group}`").cast("string"), F.col("_group")
     else:
         kept = materialize(kept, "group-rows")
-        key = F.lit("")
+        key, folder = F.lit(""), F.lit("")
     classes = (
-        kept.groupBy(key.alias("key"))
+        kept.groupBy(key.alias("key"), folder.alias("folder"))
         .agg(F.countDistinct(target).alias("classes"), F.min(target).alias("only"))
         .collect()
     )
@@ -183,8 +191,8 @@ def fit_per_group(
     result.constants = {r.key: r.only for r in classes if r.classes == 1}
     keys = [r.key for r in classes if r.classes > 1]
 
-    def fit(value: str) -> PipelineModel:
-        rows = kept.where(F.col("_group") == value) if group else kept
+    def fit(value: str | None) -> PipelineModel:
+        rows = kept.where(F.col("_group") == _folder(value)) if group else kept
         return fit_classifier(rows, target, learner(), labels)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
