@@ -475,6 +475,15 @@ def _hier_model_query() -> str:
     )
 
 
+_NESTED = """WITH used AS (
+  SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+tree AS (
+  SELECT DISTINCT 'R' || r_regionkey AS id, r_name AS name, NULL::VARCHAR AS parent, 0 AS depth, 'R' || r_regionkey AS path, r_name AS names FROM used
+  UNION ALL SELECT DISTINCT 'N' || n_nationkey, n_name, 'R' || r_regionkey, 1, 'R' || r_regionkey || '>N' || n_nationkey, r_name || '>' || n_name FROM used
+  UNION ALL SELECT 'C' || c_custkey, c_name, 'N' || n_nationkey, 2, 'R' || r_regionkey || '>N' || n_nationkey || '>C' || c_custkey,
+    r_name || '>' || n_name || '>' || c_name FROM used)
+"""
+
 LABELLED = (
     "labelled AS MATERIALIZED (SELECT d.doc_id AS item_id, text AS title, lang AS cat_0, "
     "lang || '/' || coalesce(quality::VARCHAR, 'u') AS cat_1, lang || '/' || coalesce(quality::VARCHAR, 'u') "
@@ -785,6 +794,20 @@ def oracle_sql() -> dict[str, str]:
         "nb_cascade": with_ctes(
             *hierarchy_ctes(DOC_ITEMS, "doc_items", GRAMS), *cascade_ctes(), select=CASCADE
         ),
+        "vocab_million": with_ctes(
+            DOC_ITEMS,
+            words_cte("doc_items"),
+            terms_cte((1, 2, 3)),
+            select="SELECT (row_number() OVER (ORDER BY n DESC, term) - 1)::INTEGER AS index, term, n, df FROM "
+            "(SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM terms GROUP BY ALL) ORDER BY n DESC, term LIMIT 1000000",
+        ),
+        "count_vector_million": with_ctes(
+            *pipeline(DOC_ITEMS, "doc_items", {1: (1_000_000, 20)}),
+            select="SELECT item_id, index, tf::DOUBLE AS value FROM known",
+        ),
+        "taxonomy_tree": _NESTED + "SELECT id, name, parent, depth, path, names FROM tree",
+        "enrich_ancestors": _NESTED + "SELECT o_orderkey AS item_id, o_orderpriority || coalesce(' ' || replace(names, '>', ' '), '') "
+        "AS title, 'C' || o_custkey AS cat_0 FROM orders LEFT JOIN tree ON id = 'C' || o_custkey",
         "nb_cascade_repeated": with_ctes(
             *hierarchy_ctes(DOC_ITEMS, "doc_items", GRAMS),
             *cascade_ctes(),

@@ -40,6 +40,7 @@ from vitrina.operators.vocabulary import (
     count_vectors,
     gram_vocabulary,
     item_terms,
+    large_vocabulary,
     to_vectorizer,
     vocabulary,
     vocabulary_sizes,
@@ -50,7 +51,7 @@ from vitrina.session import materialize, new_path
 from vitrina.sources import tables as tb
 from vitrina.sources.items import as_items, parse_items, read_items
 from vitrina.sources.models_io import PREPROCESS, assemble, load_model, model_name, save_model
-from vitrina.sources.taxonomy import category_names, enrich_titles
+from vitrina.sources.taxonomy import category_names, category_tree, enrich_by_ancestors, enrich_titles
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -173,6 +174,21 @@ REGISTRY["vocab_2gram"] = _vocabulary(2)
 REGISTRY["vocab_3gram"] = _vocabulary(3)
 
 
+@query
+def vocab_million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1,000,000 most frequent words, 2-grams and 3-grams together."""
+    return large_vocabulary(with_terms(_documents(spark, sf_dir), (1, 2, 3)), "terms", 1_000_000)
+
+
+@query
+def count_vector_million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the 1,000,000 most frequent words of 20 items or more, looked up by a join."""
+    terms = materialize(with_terms(_documents(spark, sf_dir), (1,)), "terms")
+    vocab = materialize(large_vocabulary(terms, "terms", 1_000_000, 20), "vocabulary")
+    rows = item_terms(terms, "terms", vocab, [], max_terms=0)
+    return rows.select("item_id", F.explode("terms").alias("_t")).select("item_id", "_t.index", F.col("_t.tf").cast("double").alias("value"))
+
+
 @query
 def vocab_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = with_terms(_documents(spark, sf_dir), (1, 2, 3))
@@ -618,6 +634,35 @@ def enrich_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_titles(items, category_names(_names(spark, sf_dir)))
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree text per customer: region, nation, customer; regions and nations occur in many texts."""
+    places = tb.table(spark, sf_dir, "nation").join(tb.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = tb.table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+
+    def category(letter: str, key: str, name: str, *children):
+        kids = [F.array(*children).alias("children_categories")] if children else []
+        return F.struct(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.col(name).alias("name"), *kids)
+
+    tree = category("R", "r_regionkey", "r_name", category("N", "n_nationkey", "n_name", category("C", "c_custkey", "c_name")))
+    return rows.select(F.to_json(tree).alias("value"))
+
+
+@query
+def taxonomy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category_tree(_nested(spark, sf_dir)).select(
+        "id", "name", "parent", "depth", F.array_join("path", ">").alias("path"), F.array_join("names", ">").alias("names")
+    )
+
+
+@query
+def enrich_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under their customer as category."""
+    items = tb.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cat_0")
+    )
+    return enrich_by_ancestors(items, category_tree(_nested(spark, sf_dir)), "cat_0")
+
+
 # Embeddings, scaling, indexing
 
 

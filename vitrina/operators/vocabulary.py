@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from vitrina.functions.tokens import explode_rows, gram_size, term_runs
 from vitrina.operators.lookup import MAX_BROADCAST_ROWS, fits_broadcast, lookup_join
+from vitrina.operators.positions import dense_positions
 from vitrina.session import materialize
 
 
@@ -119,6 +120,22 @@ def category_vocabulary(items: DataFrame, terms: str, category: str, size: int =
     )
 
 
+def large_vocabulary(items: DataFrame, terms: str, size: int, min_df: int = 1) -> DataFrame:
+    """``index, term, n, df`` like ``vocabulary``, for sizes that no task should rank and no driver hold.
+
+    A table of how many terms have each count gives the count of the last term that still fits; terms above it are
+    in, and with those that tie at it they are numbered over ranges of (count, term). The largest task
+    sees a range of the chosen terms. Look terms up with ``item_terms(..., max_terms=0)``, which joins.
+    """
+    counts = materialize(term_counts(items, terms).where(F.col("df") >= min_df), "term-counts")
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_terms"))  # one row per distinct count
+    above = F.sum("_terms").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
+    last = by_count.select("n", F.coalesce(above, F.lit(0)).alias("_above")).where(F.col("_above") < size).agg(F.min("n")).first()[0]
+    chosen = counts.where(F.col("n") >= F.lit(last))
+    placed = dense_positions(chosen, [F.desc("n"), F.col("term").asc()], "index")
+    return placed.where(F.col("index") < size).select(F.col("index").cast("int").alias("index"), "term", "n", "df")
+
+
 def vocabulary_sizes(vocab: DataFrame, by: str = "gram") -> DataFrame:
     """Vocabulary size per gram and in total (a null group)."""
     return vocab.rollup(by).agg(F.count(F.lit(1)).alias("terms"))
