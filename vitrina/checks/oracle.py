@@ -246,6 +246,32 @@ def pipeline(items_cte: str, items: str, limits, version: str | None = "v4") ->
     return [items_cte, words_cte(items, version), terms_cte(limits), vocab_cte(limits), KNOWN]
 
 
+def murmur_ctes(buckets: int) -> list[str]:
+    """Buckets of all distinct terms by Murmur3 (32 bits, seed 42) over their UTF-8 bytes, four at a time."""
+    two32, c1, c2 = 2**32, 0xCC9E2D51, 0x1B873593
+
+    def turned(x: str, r: int) -> str:
+        return f"({x} * {2**r} % {two32} + {x} // {2 ** (32 - r)})"
+
+    word = "substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2)"
+    rest = "substr(h, 8 * (n // 4) + 5, 2) || substr(h, 8 * (n // 4) + 3, 2) || substr(h, 8 * (n // 4) + 1, 2)"
+
+    def number(digits: str) -> str:
+        return f"cast('0x' || {digits} as ubigint)::hugeint"
+
+    return [
+        "m0 AS (SELECT term, hex(encode(term)) AS h, length(hex(encode(term))) // 2 AS n FROM (SELECT DISTINCT term FROM terms))",
+        f"m1 AS (SELECT term, n, list_transform(range(n // 4), lambda i: {number(word)} * {c1} % {two32}) AS k, "
+        f"CASE WHEN n % 4 > 0 THEN {number(rest)} * {c1} % {two32} ELSE 0::hugeint END AS t FROM m0)",
+        f"m2 AS (SELECT term, n, list_transform(k, lambda x: {turned('x', 15)} * {c2} % {two32}) AS k, {turned('t', 15)} * {c2} % {two32} AS t FROM m1)",
+        f"m3 AS (SELECT term, xor(xor(list_reduce(list_prepend(42::hugeint, k), lambda a, x: ({turned('xor(a, x)', 13)} * 5 + {0xE6546B64}) % {two32}), t), n::hugeint) AS h FROM m2)",
+        f"m4 AS (SELECT term, xor(h, h // 65536) * {0x85EBCA6B} % {two32} AS h FROM m3)",
+        f"m5 AS (SELECT term, xor(h, h // 8192) * {0xC2B2AE35} % {two32} AS h FROM m4)",
+        "m6 AS (SELECT term, xor(h, h // 65536) AS h FROM m5)",
+        f"hashed AS MATERIALIZED (SELECT term, (((h - CASE WHEN h >= {2**31} THEN {two32} ELSE 0 END) % {buckets} + {buckets}) % {buckets})::INTEGER AS bucket FROM m6)",
+    ]
+
+
 def _token_query(expr: str, version: str | None = "v4") -> str:
     return with_ctes(
         DOC_ITEMS,
@@ -670,8 +696,17 @@ def oracle_sql() -> dict[str, str]:
             "FROM words w LEFT JOIN known k USING (item_id) GROUP BY w.item_id",
         ),
         "hashing_tf": with_ctes(
-            DOC_ITEMS, words_cte("doc_items"),
-            select="SELECT item_id, len(words)::DOUBLE AS total FROM words",
+            DOC_ITEMS, words_cte("doc_items"), terms_cte((1,), stop=False), *murmur_ctes(20_000),
+            select="SELECT item_id, bucket AS index, sum(tf)::BIGINT AS tf FROM terms JOIN hashed USING (term) GROUP BY ALL",
+        ),
+        "nb_hashed_grams": with_ctes(
+            DOC_ITEMS, words_cte("doc_items", None), terms_cte((1, 2), stop=False), *murmur_ctes(20_000),
+            "known AS MATERIALIZED (SELECT item_id, (bucket + CASE gram WHEN 1 THEN 20000 ELSE 0 END)::INTEGER AS index, "
+            "sum(tf)::BIGINT AS tf FROM terms JOIN hashed USING (term) GROUP BY ALL)",
+            "vocab AS (SELECT unnest(range(40000))::INTEGER AS index)",
+            SAME_ITEMS, *model_ctes("0", "words", "''", "cat_0", True),
+            "root_items AS (SELECT item_id, '' AS parent FROM words)", *score_ctes("0", "root_items", True),
+            select=PREDICTED,
         ),
         "chisq_select": _chi_square_query(),
         "label_index": with_ctes(

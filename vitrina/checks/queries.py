@@ -18,7 +18,7 @@ from vitrina.functions.tokens import ngrams, plain_tokens, regex_tokens, without
 from vitrina.operators import labels as lb
 from vitrina.operators import learners as ln
 from vitrina.operators import vectors as vc
-from vitrina.operators.bayes import BayesModel, Level, conditional_weights
+from vitrina.operators.bayes import BayesModel, Level, conditional_weights, fit_bayes
 from vitrina.operators.chisq import select_terms
 from vitrina.operators.counts import distinct_counts, distinct_keys, word_count
 from vitrina.operators.evaluate import accuracy, accuracy_by_category
@@ -237,15 +237,29 @@ def vectorizer_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HASHED = 20_000  # fixed value: buckets of each term column
+
+
 @query
 def hashing_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed counts keep the number of tokens of an item."""
+    """Every item's buckets with their counts."""
     words = with_words(_documents(spark, sf_dir))
-    hashed = vc.hashed_frequencies(words, "words", 1000)
-    values = vector_to_array("features")
-    return hashed.select(
-        "item_id", F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("total")
-    )
+    hashed = vc.hashed_terms(words, {"words": HASHED}, [])
+    return hashed.select("item_id", F.explode("terms").alias("_t")).select("item_id", "_t.index", "_t.tf")
+
+
+def _hashed_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2-grams and words of flat items, hashed and side by side."""
+    words = with_words(_documents(spark, sf_dir), version=None).withColumn("grams", ngrams("words", 2))
+    return vc.hashed_terms(words, {"grams": HASHED, "words": HASHED}, ["cat_0"])
+
+
+@query
+def nb_hashed_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial Bayes over hashed 2-grams and words side by side."""
+    terms = _hashed_grams(spark, sf_dir)
+    model = fit_bayes(terms, [Level("cat_0")], 2 * HASHED, "multinomial")
+    return cl.classify(terms, model, "cat_0", ["cat_0"])
 
 
 @query
