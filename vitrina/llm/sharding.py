@@ -76,9 +76,11 @@ def place(
         list(enumerate(table)), "__slot int, __shard int"
     ).select("__slot", names[F.col("__shard")].alias("__name"))
     kept = [c for c in df.columns if c not in (slot_column, shard_column)]
-    placed = df.withColumn("__at", slot_of(df[key], slots).cast("int"))
+    # the row travels in a struct, so its columns may have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0)]).alias("__row")
+    placed = df.select(row, slot_of(df[key], slots).cast("int").alias("__at"))
     return placed.join(F.broadcast(owners), F.col("__at") == F.col("__slot"), "left").select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col("__row").getField(c).alias(c) for c in kept],
         F.col("__slot").cast("long").alias(slot_column),
         F.col("__name").alias(shard_column),
     )
