@@ -151,6 +151,20 @@ def test_warc_members_are_gzip_files_and_can_be_normalised_again(spark):
         assert b"".join(warc.inflated_records(f)) == whole
 
 
+def test_revisits_refer_to_records_of_the_archives(spark):
+    df = spark.createDataFrame(PAGES * 2, "page_id long, url string, html string").repartition(5)
+    archives = warc.archive_pages(df)
+    ids, referred = set(), set()
+    for row in archives.collect():
+        with warc._opened(row["archive"], "read") as f:
+            for record in warc.inflated_records(f):
+                headers, _ = warc.split_record(record)
+                ids.add(headers["WARC-Record-ID"])
+                referred.add(headers.get("WARC-Refers-To"))
+    assert len(ids) == 2 * len(PAGES) and len(referred) > 2 and referred - {None} <= ids
+    assert warc.read_archives(archives).rdd.getNumPartitions() == archives.count()
+
+
 def test_warc_repeated_rows_and_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "u", ""), (3, "u", "")], "page_id long, url string, html string")
     rows = warc.read_archives(warc.archive_pages(df, least_bytes=1)).collect()
@@ -168,6 +182,13 @@ def test_sharding_moves_few_keys(spark):
     assert moved < 0.15 * 2003
 
 
+def test_sharding_of_columns_with_any_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, "x", 5, "s")], "doc_id long, `__slot` int, `__at` int, `__name` string, `__row` int, `a.b` string")
+    row = sharding.place(df, "doc_id", ["a", "b"], 101).first().asDict()
+    assert (row["__slot"], row["__at"], row["__name"], row["__row"], row["a.b"]) == (2, 3, "x", 5, "s") and row["shard"] in "ab"
+    assert sharding.place(spark.createDataFrame([(1,)], "slot long"), "slot", ["a"], 101).columns == ["slot", "shard"]
+
+
 def test_sharding_cases(spark):
     df = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (2, 8)], "doc_id long, slot int")
     rows = sharding.place(df, "doc_id", ["a", "b", "c"], 101).collect()

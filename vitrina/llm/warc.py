@@ -42,6 +42,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(place: str) -> str:
+    """The id of the record captured at ``<file>#<ordinal>``."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
+
+
 def _opened(uri: str, how: str):
     """A stream of a file in any store that Arrow knows (local, HDFS, S3, GCS)."""
     from pyarrow import fs
@@ -117,7 +122,7 @@ def _write(folder: str, date: str, file_bytes: int) -> Callable:
                 digest = payload_digest(payload)
                 headers = {
                     "WARC-Type": "response",
-                    "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{ordinal}')}>",
+                    "WARC-Record-ID": record_id(f"{name}#{ordinal}"),
                     "WARC-Date": date, "WARC-Target-URI": url or f"urn:page:{page}",
                     "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": None if page is None else str(page),
                     "X-Payload-Length": str(len(payload)), "Content-Type": "application/http; msgtype=response",
@@ -144,7 +149,7 @@ def write_monolithic(pages: DataFrame, folder: str, date: str = "2000-01-01T00:0
 
 
 def revisits(captures: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Captures with record_type and refers_to.
+    """Captures with record_type, refers_to (the response's page_id) and refers_place (where it was captured).
 
     Of equal payloads of at least ``least_bytes`` bytes the smallest page_id (nulls last, then the first written)
     is the response, the others revisit it.
@@ -162,6 +167,7 @@ def revisits(captures: DataFrame, least_bytes: int = 0) -> DataFrame:
         *captures.columns,
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first.page_id")).alias("refers_to"),
+        F.when(again, F.concat("first.file", F.lit("#"), F.col("first.ordinal").cast("string"))).alias("refers_place"),
     )
 
 
@@ -189,8 +195,9 @@ def _normalise(folder: str) -> Callable:
                     headers, block = split_record(whole)
                     headers.pop("Content-Length")
                     headers |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                    headers["WARC-Refers-To"] = record_id(row["refers_place"])
                     if row["refers_to"] is not pd.NA:
-                        headers["WARC-Refers-To"] = f"<urn:page:{row['refers_to']}>"
+                        headers["X-Refers-To-Page-ID"] = str(row["refers_to"])
                     whole = record(headers, block[: len(_HTTP)])
                 pack = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
                 member = pack.compress(whole) + pack.flush()
@@ -205,8 +212,9 @@ def _normalise(folder: str) -> Callable:
 
 def normalise(captures: DataFrame, folder: str) -> DataFrame:
     """Rewrites the monolithic files that ``captures`` (with record types) list; a written row per new archive."""
-    ordered = captures.repartition("file").sortWithinPartitions("file", "ordinal")
-    rows = ordered.select("file", "record_type", "refers_to", "digest").mapInPandas(_normalise(folder), ARCHIVE)
+    files = max(captures.select("file").distinct().count(), 1)  # a stated number of partitions is not coalesced by their few bytes
+    ordered = captures.repartition(files, "file").sortWithinPartitions("file", "ordinal")
+    rows = ordered.select("file", "record_type", "refers_to", "refers_place", "digest").mapInPandas(_normalise(folder), ARCHIVE)
     return materialize(rows, "archives")
 
 
@@ -223,7 +231,7 @@ def _read(with_payload: bool) -> Callable:
                         f.seek(offset)
                         headers, block = split_record(zlib.decompress(f.read(length), _GZIP))
                         kind, page = headers["WARC-Type"], headers.get("X-Page-ID")
-                        refers = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get("WARC-Refers-To", ""))
+                        refers = headers.get("X-Refers-To-Page-ID")
                         digest, size = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
                         payload = None
                         if kind == "response":
@@ -231,7 +239,7 @@ def _read(with_payload: bool) -> Callable:
                             if (payload_digest(body), len(body)) != (digest, size):
                                 raise ValueError(f"damaged record at {offset} of {archive}")
                             payload = body.decode() if with_payload else None
-                        rows.append((None if page is None else int(page), size, digest, kind, int(refers[1]) if refers else None, archive, offset, length, payload))
+                        rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers), archive, offset, length, payload))
                         if len(rows) == 1000:
                             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
                             rows = []
@@ -241,8 +249,12 @@ def _read(with_payload: bool) -> Callable:
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of normalised archives, each read by its offset; payloads are checked against their digests."""
-    return archives.repartition("archive").mapInPandas(_read(with_payload), RECORD)
+    """The records of normalised archives, each read by its offset; payloads are checked against their digests.
+
+    There are as many tasks as archives. Null page_ids stay null, an empty payload is an empty text, and no archives
+    give no rows.
+    """
+    return archives.repartition(max(archives.count(), 1), "archive").mapInPandas(_read(with_payload), RECORD)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
