@@ -71,6 +71,18 @@ def drop_working_tables(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete working tables that ``materialize`` returned, once everything that is made of them has been written."""
+    for table in tables:
+        spark = table.sparkSession
+        context = spark.sparkContext
+        own = f"{working_folder(spark)}/".split(":", 1)[-1].lstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(own):
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def _shuffle_clean_up(spark: SparkSession) -> Iterator[None]:
     """What is executed inside removes its shuffle files at its end, unless the session has a setting of its own."""
