@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.session import materialize
+from vitrina.session import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "links")
+        last, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(last)
         after = fingerprint(now)
         if after == before:
             break

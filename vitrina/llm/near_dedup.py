@@ -2,8 +2,8 @@
 
 Documents are sets of word shingles with a minwise signature. Documents with equal sets are one vertex. A
 chosen-path tree branches every vertex by a few selected minwise positions: vertices that agree at a
-chosen position meet in a child node. Nodes that are small are compared exhaustively, larger ones branch
-again by positions that the node's own path selects, in so many independent trees that two sets at the threshold miss
+chosen position meet in a child node. Nodes that are small are compared exhaustively, larger ones are cut into overlapping bands of
+like set sizes first, and what is still large branches again by positions that the node's own path selects, in so many independent trees that two sets at the threshold miss
 each other with the wanted probability only; what is still large at the end is compared exhaustively as well. Large nodes whose members
 agree so much that all trees would compare more pairs than there are, are compared exhaustively at once.
 
@@ -23,25 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vitrina.llm.components import components
 from vitrina.llm.words import find_words, join_hashes, mix, small_batches, word_hashes
-from vitrina.session import materialize
+from vitrina.session import discard, materialize
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 POSITIONS = 256  # minwise positions of a sketch, of a byte each
 MISS = 1e-6  # of two sets at the threshold; a quarter each at the roots, in the trees below a node, by their sketches and by a pivot's
-SMALL = 1024  # members up to which a node is compared exhaustively, in tiles
-TILE = 64  # members on a side of a tile
+SMALL = 4096  # members up to which a node is compared exhaustively, in tiles
+TILE = 128  # members on a side of a tile
 DEPTH = 4
 BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked sets outnumber those cut
 DENSITY = 8  # positions of a sketch by which a pivot is chosen
 RING = 2 * THRESHOLD - 100  # per cent: least similarity to a pivot of what links with a neighbour of the pivot
-_NODE = ["node", "digest", "label", "sketch", "n"]
+_NODE = ["node", "digest", "label", "n"]
+CLASS = 1.34  # sizes of a class are within this factor, over 100 / THRESHOLD: linked sets are of one class or of neighbouring ones
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
 ROOTS = math.ceil(math.log(MISS / 4) / math.log(1 - THRESHOLD / 100))  # positions at which the roots of all trees branch
@@ -214,16 +215,37 @@ def _suggest(least: float):
     return run
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Every two chunks of each node, and every chunk with itself (right is null)."""
-    parts = F.ceil(F.col("size") / TILE)
-    cut = members.withColumn("part", F.pmod(F.xxhash64("digest"), parts)).withColumn("parts", parts)
-    chunks = cut.groupBy("node", "parts", "part").agg(F.collect_list(F.struct("digest", "label", "n", "sketch")).alias("members"))
+def _size_class() -> Column:
+    return F.floor(F.log("n") / math.log(CLASS))
+
+
+def _bands(members: DataFrame) -> DataFrame:
+    """Members of each node by bands of two neighbouring classes of size: any two sets that link share a band."""
+    band = F.explode(F.array(_size_class(), _size_class() - 1))
+    rows = members.withColumn("band", band)
+    return rows.select(F.xxhash64(F.lit("band"), "node", "band").alias("node"), *_NODE[1:])
+
+
+def _tiles(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Every two chunks of a node whose sets are of one class of size or of neighbouring ones, and every chunk with itself
+    (right is null). A node that fits a tile is one chunk."""
+    cut = members.withColumn("class", F.when(F.col("size") <= TILE, F.lit(0).cast("long")).otherwise(_size_class()))
+    parts = cut.groupBy("node", "class").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    following = parts.select("node", (F.col("class") - 1).alias("class"), F.col("parts").alias("more"))
+    cut = cut.join(parts, ["node", "class"]).withColumn("part", F.pmod(F.xxhash64("digest"), "parts"))
+    entry = F.struct("digest", "label", "n", "sketch")
+    chunks = cut.join(sketches, "digest").groupBy("node", "class", "parts", "part").agg(F.collect_list(entry).alias("members"))
     chunks = materialize(chunks, "chunks")
-    left = chunks.select("node", F.col("members").alias("left"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), "part")
-    right = chunks.select("node", F.col("part").alias("other"), F.col("members").alias("right"))
-    own = left.where("part = other").select("left", F.lit(None).cast(left.schema["left"].dataType).alias("right"))
-    return own.unionByName(left.where("part <> other").join(right, ["node", "other"]).select("left", "right"))
+    same = F.transform(F.sequence("part", F.col("parts") - 1), lambda x: F.struct(F.col("class").alias("class"), x.alias("part")))
+    above = F.when(F.col("more").isNull(), F.expr("array_remove(array(0L), 0L)")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("more") - 1))
+    others = F.concat(same, F.transform(above, lambda x: F.struct((F.col("class") + 1).alias("class"), x.alias("part"))))
+    left = chunks.join(following, ["node", "class"], "left").select(
+        "node", F.col("members").alias("left"), F.col("class").alias("own_class"), F.col("part").alias("own_part"), F.explode(others).alias("other")
+    )
+    left = left.select("node", "left", "other.class", "other.part", F.expr("other.class = own_class and other.part = own_part").alias("own"))
+    own = left.where("own").select("left", F.lit(None).cast(left.schema["left"].dataType).alias("right"))
+    right = chunks.select("node", "class", "part", F.col("members").alias("right"))
+    return own.unionByName(left.where("not own").join(right, ["node", "class", "part"]).select("left", "right"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,27 +276,31 @@ class _Join:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.prints = materialize(self.docs.mapInArrow(_prints, _PRINT), "prints")
+        wide = materialize(self.docs.mapInArrow(_prints, _PRINT), "wide")
         self.vertices = materialize(
-            self.prints.where("digest is not null")
+            wide.where("digest is not null")
             .groupBy("digest")
             .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")),
             "vertices",
         )
+        self.prints = materialize(wide.select("doc_id", "n_shingles", "digest"), "prints")
+        discard(wide)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v) among ``pairs`` (a, b), by the full sets of the documents that occur in them."""
         pairs = materialize(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        wanted = materialize(wanted.join(self.vertices.select("digest", "doc"), "digest"), "wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        ids, wanted = wanted.select("doc"), wanted.select("digest")
+        wanted_ids = materialize(wanted.join(self.vertices.select("digest", "doc"), "digest"), "wanted")
+        few = wanted_ids.count() <= BROADCAST_IDS
+        ids, wanted = wanted_ids.select("doc"), wanted_ids.select("digest")
         texts = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         sets = materialize(texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
         left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
         rows = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
-        return materialize(rows.mapInArrow(_confirm, "u binary, v binary"), "confirmed")
+        links = materialize(rows.mapInArrow(_confirm, "u binary, v binary"), "confirmed")
+        discard(pairs, wanted_ids, sets)
+        return links
 
 
 def _near(nodes: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -305,26 +331,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = join.vertices.mapInArrow(_members, "node long, digest binary, n long")
     several = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = members.join(several.select("node"), "node").join(join.vertices.select("digest", "sketch"), "digest")
-    live = materialize(met.select("node", "digest", "sketch", "n"), "members")
-    pivots = materialize(_pivots(live), "pivots")
-    near = materialize(_near(live, pivots), "near")
+    met = materialize(met.select("node", "digest", "sketch", "n"), "members")
+    pivots = materialize(_pivots(met), "pivots")
+    near = materialize(_near(met, pivots), "near")
     enough = near.where(F.col("sized") & (F.col("share") >= least_agreement()))
     links = join.confirmed(enough.select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct())
     labels = components(links).select(F.col("vertex").alias("digest"), F.col("label").alias("now"))
 
     # what is left of each node without the pivot's neighbours, and these with those around them
     star = links.select(F.col("u").alias("pivot"), F.col("v").alias("digest"))
-    rest = live.select("node", "digest").join(pivots, "node").where("digest <> pivot").join(star, ["pivot", "digest"], "left_anti")
+    rest = met.select("node", "digest").join(pivots, "node").where("digest <> pivot").join(star, ["pivot", "digest"], "left_anti")
     around = near.select("pivot", "digest").unionByName(pivots.select("pivot", F.col("pivot").alias("digest"))).distinct()
     parted = rest.select("node", "digest").unionByName(around.select(F.xxhash64(F.lit("hub"), "pivot").alias("node"), "digest"))
     named = parted.join(labels, "digest", "left").select("node", "digest", F.coalesce("now", "digest").alias("label"))
     named = materialize(named, "parted")
-    live = named.join(_open_nodes(named), "node").join(join.vertices.select("digest", "sketch", "n"), "digest")
-    live = materialize(live.select("size", *_NODE), "open")
+    sketches, sizes = join.vertices.select("digest", "sketch"), join.vertices.select("digest", "n")
+    live = materialize(named.join(_open_nodes(named), "node").join(sizes, "digest").select("size", *_NODE), "open")
+    discard(met, pivots, near)
     done = live.where(F.col("size") <= SMALL)
     crowded = live.where(F.col("size") > SMALL)
     if crowded.take(1):
-        dense = F.broadcast(materialize(_dense_nodes(crowded), "dense"))
+        bands = _bands(crowded)
+        live = materialize(bands.join(_open_nodes(bands), "node").select("size", *_NODE), "open")
+        done = done.unionByName(live.where(F.col("size") <= SMALL))
+        crowded = live.where(F.col("size") > SMALL)
+        dense = F.broadcast(materialize(_dense_nodes(crowded.join(sketches, "digest")), "dense"))
         done = done.unionByName(crowded.join(dense, "node", "left_semi").select(*done.columns))
         live = crowded.join(dense, "node", "left_anti").select(*done.columns)
     for level in range(DEPTH):
@@ -332,13 +363,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not large.take(1):
             break
         # a written table is read in pieces of equal size, so members of a crowded node are many tasks' work
-        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, label binary, sketch binary, n long")
+        large = materialize(large.join(sketches, "digest"), "large")
+        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, label binary, n long")
         below = materialize(below, "children")
         live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
+        discard(large, below)
         done = done.unionByName(live.where(F.col("size") <= SMALL))
     else:
         done = done.unionByName(live.where(F.col("size") > SMALL))
-    pairs = _tiles(done).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
+    pairs = _tiles(done, sketches).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
     more_links = join.confirmed(pairs)
 
     known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))  # stands for the links found before
