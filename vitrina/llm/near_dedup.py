@@ -11,7 +11,7 @@ Groups of copies never cost all their pairs. A first pass pairs the members of a
 the one whose sketch has the node's most frequent values (of a family of copies, the original). Confirmed links are joined to
 components; afterwards only pairs of different components are looked for. Jaccard distance is a
 metric, so a vertex that may link with a neighbour of the pivot is itself at half the similarity or more to the pivot: only
-such vertices are compared with the pivot's neighbours, all others only among themselves.
+such vertices are compared with the pivot's component, and those without a link to the pivot among themselves.
 Sketches only suggest pairs: every link is confirmed on the full shingle sets.
 """
 
@@ -41,7 +41,7 @@ DEPTH = 4
 BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked sets outnumber those cut
 DENSITY = 8  # positions of a sketch by which a pivot is chosen
 RING = 2 * THRESHOLD - 100  # per cent: least similarity to a pivot of what links with a neighbour of the pivot
-_NODE = ["node", "digest", "label", "n"]
+_NODE = ["node", "digest", "core", "label", "n"]
 CLASS = 1.34  # sizes of a class are within this factor, over 100 / THRESHOLD: linked sets are of one class or of neighbouring ones
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
@@ -189,7 +189,8 @@ def _dense_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def _suggest(least: float):
-    """Pairs of different components that agree in enough positions, of two chunks of a node."""
+    """Pairs of different components that agree in enough positions, of two chunks of a node; around a pivot only those of
+    its component (core) with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +208,9 @@ def _suggest(least: float):
                 if len(i):
                     one, two = (side.field("digest").to_pylist() for side in (own, other))
                     p, q = (side.field("label").to_pylist() for side in (own, other))
-                    pairs = [sorted((one[k], two[m])) for k, m in zip(i, j, strict=True) if p[k] != q[m]]
+                    core = own.field("core")[0].as_py()  # all members of a node have the same
+                    wanted = [(k, m) for k, m in zip(i, j, strict=True) if p[k] != q[m] and (core is None or core in (p[k], q[m]))]
+                    pairs = [sorted((one[k], two[m])) for k, m in wanted]
                     a += [x[0] for x in pairs]
                     b += [x[1] for x in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -233,7 +236,7 @@ def _tiles(members: DataFrame, sketches: DataFrame) -> DataFrame:
     parts = cut.groupBy("node", "class").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
     following = parts.select("node", (F.col("class") - 1).alias("class"), F.col("parts").alias("more"))
     cut = cut.join(parts, ["node", "class"]).withColumn("part", F.pmod(F.xxhash64("digest"), "parts"))
-    entry = F.struct("digest", "label", "n", "sketch")
+    entry = F.struct("digest", "core", "label", "n", "sketch")
     chunks = cut.join(sketches, "digest").groupBy("node", "class", "parts", "part").agg(F.collect_list(entry).alias("members"))
     chunks = materialize(chunks, "chunks")
     same = F.transform(F.sequence("part", F.col("parts") - 1), lambda x: F.struct(F.col("class").alias("class"), x.alias("part")))
@@ -342,8 +345,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = links.select(F.col("u").alias("pivot"), F.col("v").alias("digest"))
     rest = met.select("node", "digest").join(pivots, "node").where("digest <> pivot").join(star, ["pivot", "digest"], "left_anti")
     around = near.select("pivot", "digest").unionByName(pivots.select("pivot", F.col("pivot").alias("digest"))).distinct()
-    parted = rest.select("node", "digest").unionByName(around.select(F.xxhash64(F.lit("hub"), "pivot").alias("node"), "digest"))
-    named = parted.join(labels, "digest", "left").select("node", "digest", F.coalesce("now", "digest").alias("label"))
+    cores = labels.select(F.col("digest").alias("pivot"), F.col("now").alias("core"))  # nothing links with a neighbour of a pivot that has none
+    hubs = around.join(cores, "pivot").select(F.xxhash64(F.lit("hub"), "pivot").alias("node"), "digest", "core")
+    parted = rest.select("node", "digest", F.lit(None).cast("binary").alias("core")).unionByName(hubs)
+    named = parted.join(labels, "digest", "left").select("node", "digest", "core", F.coalesce("now", "digest").alias("label"))
     named = materialize(named, "parted")
     sketches, sizes = join.vertices.select("digest", "sketch"), join.vertices.select("digest", "n")
     live = materialize(named.join(_open_nodes(named), "node").join(sizes, "digest").select("size", *_NODE), "open")
@@ -364,7 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         # a written table is read in pieces of equal size, so members of a crowded node are many tasks' work
         large = materialize(large.join(sketches, "digest"), "large")
-        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, label binary, n long")
+        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, core binary, label binary, n long")
         below = materialize(below, "children")
         live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
         discard(large, below)
