@@ -25,6 +25,7 @@ ROUNDS = 6
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _WORDS_AT_ONCE = 1 << 18
+BATCH_BYTES = 1 << 20  # of text whose trigrams are held at once
 
 
 def _trigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +50,7 @@ def _trigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES):
         buckets, _, texts = _trigrams(find_words(batch.column("text"), LETTERS))
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(langs)), np.diff(texts))
@@ -132,7 +133,7 @@ def mixtures(likelihoods: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             words = find_words(batch.column("text"), LETTERS)
             buckets, firsts, _ = _trigrams(words)
             n_words = words.counts()
