@@ -201,6 +201,15 @@ def test_near_duplicates_beyond_the_broadcast(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+@pytest.mark.parametrize("probe", [8, 1024])
+def test_near_duplicates_after_likeliest_links(spark, monkeypatch, probe):
+    """Members of many tiles, most of them joined by their likeliest links; the rest is found by all pairs."""
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "PROBE", probe)
+    rows = corpus()
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
 @pytest.mark.parametrize("dense", [near_dedup.DENSE, 2.0])
 def test_near_duplicates_chained_to_a_large_family(spark, monkeypatch, dense):
     """Every second text links with one other of the family only; exhaustive or, without dense nodes, by trees."""

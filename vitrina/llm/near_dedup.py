@@ -9,7 +9,8 @@ agree so much that all trees would compare more pairs than there are, are compar
 
 Groups of copies never cost all their pairs. A first pass pairs the members of a node with one pivot only,
 the one whose sketch has the node's most frequent values (of a family of copies, the original). Confirmed links are joined to
-components; afterwards only pairs of different components are looked for. Jaccard distance is a
+components; afterwards only pairs of different components are looked for. Members of a node of many tiles first try their
+likeliest links only, and what these join is one component as well, before all pairs that are left are looked for. Jaccard distance is a
 metric, so a vertex that may link with a neighbour of the pivot is itself at half the similarity or more to the pivot: only
 such vertices are compared with the pivot's component, and those without a link to the pivot among themselves.
 Sketches only suggest pairs: every link is confirmed on the full shingle sets.
@@ -37,11 +38,13 @@ POSITIONS = 256  # minwise positions of a sketch, of a byte each
 MISS = 1e-6  # of two sets at the threshold; a quarter each at the roots, in the trees below a node, by their sketches and by a pivot's
 SMALL = 4096  # members up to which a node is compared exhaustively, in tiles
 TILE = 128  # members on a side of a tile
+PROBE = 1024  # members of a node among which each one looks for its likeliest links first
+PROBES = 2  # likeliest links of a member
 DEPTH = 4
 BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked sets outnumber those cut
 DENSITY = 8  # positions of a sketch by which a pivot is chosen
 RING = 2 * THRESHOLD - 100  # per cent: least similarity to a pivot of what links with a neighbour of the pivot
-_NODE = ["node", "digest", "core", "label", "n"]
+_NODE = ["node", "digest", "inner", "label", "n"]
 CLASS = 1.34  # sizes of a class are within this factor, over 100 / THRESHOLD: linked sets are of one class or of neighbouring ones
 BROADCAST_IDS = 500_000  # wanted documents up to which their ids are broadcast
 
@@ -190,7 +193,7 @@ def _dense_nodes(nodes: DataFrame) -> DataFrame:
 
 def _suggest(least: float):
     """Pairs of different components that agree in enough positions, of two chunks of a node; around a pivot only those of
-    its component (core) with others."""
+    its component as it was first (inner) with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +211,8 @@ def _suggest(least: float):
                 if len(i):
                     one, two = (side.field("digest").to_pylist() for side in (own, other))
                     p, q = (side.field("label").to_pylist() for side in (own, other))
-                    core = own.field("core")[0].as_py()  # all members of a node have the same
-                    wanted = [(k, m) for k, m in zip(i, j, strict=True) if p[k] != q[m] and (core is None or core in (p[k], q[m]))]
+                    e, f = (side.field("inner").to_pylist() for side in (own, other))  # around a pivot only, else null
+                    wanted = [(k, m) for k, m in zip(i, j, strict=True) if p[k] != q[m] and (e[k] is None or e[k] != f[m])]
                     pairs = [sorted((one[k], two[m])) for k, m in wanted]
                     a += [x[0] for x in pairs]
                     b += [x[1] for x in pairs]
@@ -218,6 +221,42 @@ def _suggest(least: float):
     return run
 
 
+def _likeliest(least: float):
+    """For each member of a chunk the pairs that ``_suggest`` would find in it with the best agreement, PROBES at most;
+    around a pivot for members outside its component only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for chunk in batch.column("members"):
+                own = chunk.values
+                x, n = _sketches(own.field("sketch")), own.field("n").to_numpy()
+                digests, inner = own.field("digest").to_pylist(), own.field("inner").to_pylist()
+                _, label = np.unique(np.array([x.hex() for x in own.field("label").to_pylist()]), return_inverse=True)
+                core = np.array([bool(i) for i in inner])
+                for i in np.flatnonzero(~core):
+                    may = (label != label[i]) & (100 * np.minimum(n, n[i]) >= THRESHOLD * np.maximum(n, n[i]))
+                    at = np.flatnonzero(may if inner[i] is None else may & core)
+                    share = (x[at] == x[i]).mean(axis=1)
+                    for k in np.argsort(-share, kind="stable")[:PROBES]:
+                        if share[k] >= least:
+                            one, two = sorted((digests[i], digests[at[k]]))
+                            a.append(one)
+                            b.append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _probes(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Likeliest links (a, b) in nodes of more than a tile, which are cut into chunks by chance."""
+    large = members.where(F.col("size") > TILE)
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / PROBE))
+    entry = F.struct("digest", "inner", "label", "n", "sketch")
+    chunks = large.join(sketches, "digest").groupBy("node", part.alias("part")).agg(F.collect_list(entry).alias("members"))
+    return chunks.select("members").mapInArrow(_likeliest(least_agreement()), "a binary, b binary").distinct()
+
+
 def _size_class() -> Column:
     return F.floor(F.log("n") / math.log(CLASS))
 
@@ -236,7 +275,7 @@ def _tiles(members: DataFrame, sketches: DataFrame) -> DataFrame:
     parts = cut.groupBy("node", "class").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
     following = parts.select("node", (F.col("class") - 1).alias("class"), F.col("parts").alias("more"))
     cut = cut.join(parts, ["node", "class"]).withColumn("part", F.pmod(F.xxhash64("digest"), "parts"))
-    entry = F.struct("digest", "core", "label", "n", "sketch")
+    entry = F.struct("digest", "inner", "label", "n", "sketch")
     chunks = cut.join(sketches, "digest").groupBy("node", "class", "parts", "part").agg(F.collect_list(entry).alias("members"))
     chunks = materialize(chunks, "chunks")
     same = F.transform(F.sequence("part", F.col("parts") - 1), lambda x: F.struct(F.col("class").alias("class"), x.alias("part")))
@@ -348,8 +387,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cores = labels.select(F.col("digest").alias("pivot"), F.col("now").alias("core"))  # nothing links with a neighbour of a pivot that has none
     hubs = around.join(cores, "pivot").select(F.xxhash64(F.lit("hub"), "pivot").alias("node"), "digest", "core")
     parted = rest.select("node", "digest", F.lit(None).cast("binary").alias("core")).unionByName(hubs)
-    named = parted.join(labels, "digest", "left").select("node", "digest", "core", F.coalesce("now", "digest").alias("label"))
-    named = materialize(named, "parted")
+    named = parted.join(labels, "digest", "left").withColumn("label", F.coalesce("now", "digest"))
+    named = materialize(named.select("node", "digest", (F.col("core") == F.col("label")).alias("inner"), "label"), "parted")
     sketches, sizes = join.vertices.select("digest", "sketch"), join.vertices.select("digest", "n")
     live = materialize(named.join(_open_nodes(named), "node").join(sizes, "digest").select("size", *_NODE), "open")
     discard(met, pivots, near)
@@ -369,13 +408,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         # a written table is read in pieces of equal size, so members of a crowded node are many tasks' work
         large = materialize(large.join(sketches, "digest"), "large")
-        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, core binary, label binary, n long")
+        below = large.mapInArrow(_children(1 if level else TREES), "node long, digest binary, inner boolean, label binary, n long")
         below = materialize(below, "children")
         live = materialize(below.join(_open_nodes(below), "node").select("size", *_NODE), "open")
         discard(large, below)
         done = done.unionByName(live.where(F.col("size") <= SMALL))
     else:
         done = done.unionByName(live.where(F.col("size") > SMALL))
+    probed = join.confirmed(_probes(done, sketches))
+    if probed.take(1):
+        known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))
+        labels = components(known.unionByName(probed)).select(F.col("vertex").alias("digest"), F.col("label").alias("now"))
+        named = done.drop("size", "label").join(labels, "digest", "left").withColumn("label", F.coalesce("now", "digest"))
+        named = materialize(named.select(*_NODE), "contracted")
+        done = named.join(_open_nodes(named), "node").select("size", *_NODE)
     pairs = _tiles(done, sketches).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
     more_links = join.confirmed(pairs)
 
