@@ -30,6 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vitrina.llm.components import components
 from vitrina.llm.words import find_words, join_hashes, mix, small_batches, word_hashes
+from vitrina.operators.lookup import lookup_join
 from vitrina.session import discard, materialize
 
 SHINGLE = 5
@@ -361,6 +362,27 @@ def _open_nodes(members: DataFrame) -> DataFrame:
     return sizes.where("low <> high").select("node", "size")
 
 
+def _contracted(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Members under the label of the largest component among their component and those that ``links`` (u, v) join it with.
+
+    Components of one label are all linked with that component, so this joins nothing that is not linked; what it leaves
+    apart is looked for among all pairs.
+    """
+    for end in ("u", "v"):
+        now = labels.select(F.col("digest").alias(end), F.col("now").alias(f"{end}_now"))
+        links = links.join(now, end, "left").withColumn(f"{end}_now", F.coalesce(f"{end}_now", end))
+    ends = links.where("u_now <> v_now").select(F.col("u_now").alias("label"), F.col("v_now").alias("other"))
+    both = materialize(ends.unionByName(ends.select(F.col("other").alias("label"), F.col("label").alias("other"))).distinct(), "meeting")
+    sizes = materialize(labels.groupBy("now").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
+    met = lookup_join(both, sizes.withColumnRenamed("now", "other"), ["other"], "left", salt_on=["label"])
+    best = met.groupBy("label").agg(F.max(F.struct(F.coalesce("n", F.lit(1)).alias("m"), F.col("other").alias("to"))).alias("best"))
+    own = lookup_join(best.select("label", "best.*"), sizes.withColumnRenamed("now", "label"), ["label"], "left")
+    own = own.withColumn("n", F.coalesce("n", F.lit(1)))
+    moved = materialize(own.where("m > n or m = n and to > label").select("label", "to"), "moved")
+    named = lookup_join(members, moved, ["label"], "left", salt_on=["digest"])
+    return named.withColumn("label", F.coalesce("to", "label")).select(*_NODE)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -417,16 +439,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         done = done.unionByName(live.where(F.col("size") > SMALL))
     probed = join.confirmed(_probes(done, sketches))
     if probed.take(1):
-        known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))
-        labels = components(known.unionByName(probed)).select(F.col("vertex").alias("digest"), F.col("label").alias("now"))
-        named = done.drop("size", "label").join(labels, "digest", "left").withColumn("label", F.coalesce("now", "digest"))
-        named = materialize(named.select(*_NODE), "contracted")
+        named = materialize(_contracted(done.select(*_NODE), labels, probed), "contracted")
         done = named.join(_open_nodes(named), "node").select("size", *_NODE)
     pairs = _tiles(done, sketches).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
     more_links = join.confirmed(pairs)
 
     known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))  # stands for the links found before
-    final = components(known.unionByName(more_links)).withColumnRenamed("vertex", "digest")
+    final = components(known.unionByName(probed).unionByName(more_links)).withColumnRenamed("vertex", "digest")
     named = join.vertices.select("digest", "doc").join(final, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     ids = named.join(smallest, "label").select("digest", "component_id")
