@@ -3,7 +3,7 @@ import random
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover, Tokenizer
 from pyspark.sql import functions as F
 
-from vitrina.functions.normalize import PUNCTUATION, RULE_SETS, accent_table, normalize_title
+from vitrina.functions.normalize import PUNCTUATION, RULE_SETS, SOME_MEASURE, SOME_PAIR, UNITS, accent_table, normalize_title
 from vitrina.functions.normalize import java_trim, strip_accents
 from vitrina.functions.stopwords import language_stop_words, listing_stop_words, load_stop_words
 from vitrina.functions.tokens import (
@@ -72,6 +72,26 @@ def test_fast_rules_equal_plain_rules(spark):
         assert column(spark, titles, normalize_title("s", version)) == column(spark, titles, plain)
 
 
+def test_unit_rules_run_only_where_a_measure_is_found(spark):
+    """In texts without one no unit rule changes anything, and the expression passes the rules over there."""
+    rng = random.Random(11)
+    titles = ["".join(rng.choice("  1 23 x/.,%'mlcgwv°\n") for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in titles], "s string")
+    for guard, rules in ((SOME_MEASURE, RULE_SETS["v4"][: len(UNITS) + 1]), (SOME_PAIR, RULE_SETS["v4"][len(UNITS) + 1 : len(UNITS) + 3])):
+        assert 0 < df.where(F.col("s").rlike(guard)).count() < len(titles)
+        for pattern, replacement in rules:
+            changed = F.regexp_replace("s", F.lit(pattern), F.lit(replacement)) != F.col("s")
+            assert df.where(~F.col("s").rlike(guard) & changed).count() == 0
+    plan = df.select(normalize_title("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN") >= 2 + 1
+
+
+def test_trim_equals_its_rule_before_line_ends(spark):
+    texts = [a + " \tx y" + b for a in ("", " ", "\x00\n") for b in ("", " \n", " \u0085", "\x00\u2028", " \u2029 ", "\r\n")] + ["", " ", "\n\u0085"]
+    rule = F.regexp_replace("s", r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    assert column(spark, texts, java_trim(F.col("s"))) == column(spark, texts, rule)
+
+
 def test_accent_table_is_complete():
     source, target = accent_table()
     assert len(source) == len(target) == len(set(source))
