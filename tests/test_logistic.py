@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrina.operators.bayes import BayesModel, Level, predict
-from vitrina.operators.logistic import fit_logistic
+from vitrina.operators.logistic import Block, fit_logistic
 from vitrina.operators.vocabulary import Limits
 from vitrina.plans import classify as cl
 from vitrina.session import new_path
@@ -152,3 +152,25 @@ def test_learners_are_checked(listings):
     features = cl.build_features(listings, [*cl.LEVELS, "price"], {1: Limits(1000, 1)})
     with pytest.raises(ValueError):
         cl.fit_mixed(features, ("bayes",))
+
+
+def test_blocks_equal_dense_sums():
+    """Losses and gradients of a block with empty items, by dense matrices; numbers of cells are converted once."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 3, 0, 0, 5, 1, 0])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    columns = np.concatenate([rng.choice(9, n, replace=False) for n in sizes]).astype(np.int32)
+    dense = np.zeros((len(sizes), 10))
+    dense[np.repeat(np.arange(len(sizes)), sizes), columns] = 1
+    dense[:, 9] = 1
+    for labels, width in ((np.array([0, 1, 1, 0, 1, 0, 1]), 1), (np.array([0, 1, 2, 0, 1, 2, 1]), 3)):
+        weights = rng.normal(size=(10, width))
+        z = dense @ weights
+        full = np.hstack([np.zeros((len(z), 1)), z]) if width == 1 else z
+        p = np.exp(full) / np.exp(full).sum(axis=1, keepdims=True)
+        rest = p - np.eye(p.shape[1])[labels]
+        loss, gradient = Block(labels.astype(np.int32), starts, columns).evaluate(weights)
+        assert np.isclose(loss, -np.log(p[np.arange(len(z)), labels]).sum())
+        assert np.allclose(gradient, dense.T @ (rest[:, 1:] if width == 1 else rest))
+    empty = Block(np.array([0, 1], np.int32), np.zeros(3, np.int64), np.zeros(0, np.int32)).evaluate(np.zeros((10, 1)))
+    assert np.isclose(empty[0], 2 * np.log(2)) and not empty[1].any()
