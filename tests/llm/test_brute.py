@@ -473,6 +473,18 @@ def check_packed(rows, capacity, sizes, sources, clusters):
             at += p["n_tokens"]
 
 
+def test_only_repeated_clusters_take_bits(monkeypatch):
+    """The bitmaps of bins are as wide as the number of repeated clusters, not as the unit."""
+    seen = []
+    place = packing.Bins.place
+    monkeypatch.setattr(packing.Bins, "place", lambda self, size, source, cluster: (seen.append(cluster), place(self, size, source, cluster))[1])
+    clusters = [f"own {i}" for i in range(500)] + ["twice", "twice"]
+    placed = packing.pack_unit(np.full(502, 3), ["a"] * 251 + ["b"] * 251, clusters, 8)
+    assert max(seen).bit_length() == 1 and len(placed) == 502
+    bins = [p[4] for p in placed if p[0] >= 500]
+    assert bins[0] != bins[1]
+
+
 def test_packed_documents(spark, sf_dir):
     docs = documents(sf_dir)
     rows = REGISTRY["op2_packing"](spark, sf_dir).collect()

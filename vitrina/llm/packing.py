@@ -10,6 +10,7 @@ bin are passed over at once.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,11 +114,12 @@ def pack_unit(sizes: np.ndarray, sources: list, clusters: list, capacity: int) -
     pieces.sort(key=lambda x: (-x[0], x[1], x[2]))
     of_source: dict = {}
     of_cluster: dict = {}
+    copies = Counter(clusters)  # a cluster of one row needs no bit: its pieces share a source already
     bins = Bins(capacity)
     out = []
     for size, row, piece, at in pieces:
         source = 1 << of_source.setdefault(sources[row], len(of_source))
-        cluster = 1 << of_cluster.setdefault(clusters[row], len(of_cluster))
+        cluster = 1 << of_cluster.setdefault(clusters[row], len(of_cluster)) if copies[clusters[row]] > 1 else 0
         out.append((row, piece, at, size, bins.place(size, source, cluster)))
     return out
 
