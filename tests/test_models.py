@@ -266,3 +266,11 @@ def test_holdout_never_trains_on_test_rows(words):
     _, test = keyed_split(items)
     assert row["items"] == test.count()
     assert math.isclose(row.accuracy + row.error, 1.0)
+
+
+def test_vectorizer_totals_come_from_sparse_values(spark, sf_dir):
+    """No row is made as long as the vocabulary."""
+    from vitrina.checks.queries import REGISTRY
+
+    plan = REGISTRY["vectorizer_ml"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "vector_to_array" not in plan and "unwrap" in plan.lower()
