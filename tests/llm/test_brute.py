@@ -473,6 +473,31 @@ def check_packed(rows, capacity, sizes, sources, clusters):
             at += p["n_tokens"]
 
 
+def test_a_shard_answers_in_one_batch():
+    """Batches grow with the shards, not with blocks times shards; totals are those of all blocks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sent = [(shard, block, np.unique(rng.integers(0, 50, 20).astype(np.uint64))) for shard in (3, 7) for block in range(40)]
+    counts = [rng.integers(0, 4, len(k)).astype(np.uint32) for _, _, k in sent]
+    rows = [
+        {"shard": s, "block": b, "order": 1, "keys": ngram_lm._planes(np.diff(k, prepend=np.uint64(0))), "counts": ngram_lm._planes(c)}
+        for (s, b, k), c in zip(sent, counts, strict=True)
+    ]
+    got = list(ngram_lm._totals(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(got) == 2
+    answers = {(r["shard"], r["block"]): r for batch in got for r in batch.to_pylist()}
+    for shard in (3, 7):
+        total = Counter()
+        for (s, _, k), c in zip(sent, counts, strict=True):
+            if s == shard:
+                total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+        for s, b, k in sent:
+            if s == shard:
+                assert ngram_lm._from_planes(answers[s, b]["totals"], np.uint64).tolist() == [total[x] for x in k.tolist()]
+        assert answers[shard, -1]["trained"] == sum(n > 0 for n in total.values())
+
+
 def test_only_repeated_clusters_take_bits(monkeypatch):
     """The bitmaps of bins are as wide as the number of repeated clusters, not as the unit."""
     seen = []
