@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,11 +8,12 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrina.operators import logistic
 from vitrina.operators.bayes import BayesModel, Level, predict
 from vitrina.operators.logistic import Block, fit_logistic
 from vitrina.operators.vocabulary import Limits
 from vitrina.plans import classify as cl
-from vitrina.session import new_path
+from vitrina.session import new_path, working_folder
 
 TERMS = 30
 
@@ -81,6 +83,21 @@ def test_blocks_do_not_change_the_fit(spark):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
+@pytest.mark.parametrize("alone", [1, 1 << 20])
+def test_several_blocks_leave_no_states_behind(spark, monkeypatch, alone):
+    """A model of several blocks equals that of one, fitted inside a task or by steps; states of past steps are deleted."""
+    df = spark.createDataFrame(items(5, SIZES), SCHEMA)
+    before = set(os.listdir(working_folder(spark))) if os.path.exists(working_folder(spark)) else set()
+    one = fit_logistic(df, [Level("down", "up")], 15)
+    monkeypatch.setattr(logistic, "ALONE", alone)
+    many = fit_logistic(df, [Level("down", "up")], 15, block_cells=250)
+    for parent in SIZES:
+        if parent != "one":
+            np.testing.assert_allclose(table(one, parent)[1], table(many, parent)[1], atol=1e-6)
+    left = set(os.listdir(working_folder(spark))) - before
+    assert left and not [name for name in left if name.split("-")[0] in ("step", "begin", "packed", "blocks")]
+
+
 def test_linear_tables_score_like_the_weights(spark):
     rows = items(7, SIZES) + [(9001, "hot", None, [(1, 1)]), (9002, None, "x", [(1, 1)]), (9003, "new", None, [(1, 1)]), (None, "hot", "hot/0", []), (None, "hot", "hot/1", [])]
     df = spark.createDataFrame(rows, SCHEMA)
