@@ -228,6 +228,28 @@ def test_near_duplicates_chained_to_a_large_family(spark, monkeypatch, dense):
     assert [r[0] for r in found if r[2] != 0] == []
 
 
+@pytest.mark.parametrize("most", [near_dedup.CONFIRM, 1000])
+def test_pairs_of_a_family_below_the_threshold_never_become_rows(spark, monkeypatch, most):
+    """Texts that are all just below the threshold: no step joins sets to each of their pairs."""
+    seen, confirmed = [], near_dedup._Join.confirmed
+    monkeypatch.setattr(near_dedup._Join, "confirmed", lambda self, pairs: seen.append(pairs.count()) or confirmed(self, pairs))
+    monkeypatch.setattr(near_dedup, "CONFIRM", most)
+    rng = np.random.default_rng(3)
+    prose = " ".join(f"t{x}" for x in rng.integers(0, 5000, 200))
+    rows = list(enumerate(copies(rng, prose, 160, 4)))
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+    assert max(seen) <= near_dedup.ROOTS * len(rows)  # by pairs it were 9,424
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_cut_pairs_are_whole_and_bounded(most):
+    sizes = np.arange(1, 21)
+    pairs = np.array(list(combinations(range(20), 2)))
+    parts = list(near_dedup._cut(pairs, sizes, most))
+    assert sorted(tuple(p) for part in parts for p in part) == [tuple(p) for p in pairs]
+    assert all(len(part) == 1 or sizes[np.unique(part)].sum() <= most for part in parts)
+
+
 def test_trees_reach_the_stated_miss():
     assert near_dedup.tree_miss(near_dedup.TREES) + (1 - near_dedup.THRESHOLD / 100) ** near_dedup.ROOTS <= near_dedup.MISS / 2
 

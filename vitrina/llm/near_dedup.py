@@ -13,7 +13,8 @@ components; afterwards only pairs of different components are looked for. Member
 likeliest links only, and what these join is one component as well, before all pairs that are left are looked for. Jaccard distance is a
 metric, so a vertex that may link with a neighbour of the pivot is itself at half the similarity or more to the pivot: only
 such vertices are compared with the pivot's component, and those without a link to the pivot among themselves.
-Sketches only suggest pairs: every link is confirmed on the full shingle sets.
+Sketches only suggest pairs: every link is confirmed on the full shingle sets. Pairs that a tile suggests stay together, so
+that a set is sent once per tile and not once per pair.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ SMALL = 4096  # members up to which a node is compared exhaustively, in tiles
 TILE = 128  # members on a side of a tile
 PROBE = 1024  # members of a node among which each one looks for its likeliest links first
 PROBES = 2  # likeliest links of a member
+CONFIRM = 1 << 18  # shingles of the sets that are confirmed together, but for two sets that have more
 DEPTH = 4
 BRANCHES = 1.6  # expected children of a node: over 4/3, so that paths of linked sets outnumber those cut
 DENSITY = 8  # positions of a sketch by which a pivot is chosen
@@ -192,13 +194,28 @@ def _dense_nodes(nodes: DataFrame) -> DataFrame:
     return counts.groupBy("node").agg(share.alias("share")).where(F.col("share") >= DENSE).select("node")
 
 
-def _suggest(least: float):
+def _cut(pairs: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """``pairs`` (rows of two members) in parts whose members have ``most`` shingles together at most, or of one pair."""
+    if len(pairs) == 1 or sizes[np.unique(pairs)].sum() <= most:
+        yield pairs
+        return
+    side = int(len(np.unique(pairs[:, 1])) > len(np.unique(pairs[:, 0])))
+    order = np.argsort(pairs[:, side], kind="stable")
+    yield from _cut(pairs[order[: len(order) // 2]], sizes, most)
+    yield from _cut(pairs[order[len(order) // 2 :]], sizes, most)
+
+
+_TILE = "digests array<binary>, pairs binary"
+
+
+def _suggest(least: float, most: int):
     """Pairs of different components that agree in enough positions, of two chunks of a node; around a pivot only those of
-    its component as it was first (inner) with others."""
+    its component as it was first (inner) with others. A row holds the members of such pairs, sorted, and the pairs as
+    positions among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            tiles, rows = [], []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 own = left.values
                 other = own if not right.is_valid else right.values
@@ -209,15 +226,21 @@ def _suggest(least: float):
                 if own is other:
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
-                if len(i):
-                    one, two = (side.field("digest").to_pylist() for side in (own, other))
-                    p, q = (side.field("label").to_pylist() for side in (own, other))
-                    e, f = (side.field("inner").to_pylist() for side in (own, other))  # around a pivot only, else null
-                    wanted = [(k, m) for k, m in zip(i, j, strict=True) if p[k] != q[m] and (e[k] is None or e[k] != f[m])]
-                    pairs = [sorted((one[k], two[m])) for k, m in wanted]
-                    a += [x[0] for x in pairs]
-                    b += [x[1] for x in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                if not len(i):
+                    continue
+                p, q = (side.field("label").to_pylist() for side in (own, other))
+                e, f = (side.field("inner").to_pylist() for side in (own, other))  # around a pivot only, else null
+                wanted = [(k, m) for k, m in zip(i, j, strict=True) if p[k] != q[m] and (e[k] is None or e[k] != f[m])]
+                if not wanted:
+                    continue
+                digests = [*own.field("digest").to_pylist(), *other.field("digest").to_pylist()]
+                for part in _cut(np.array(wanted) + [0, len(own)], np.concatenate([m, n]), most):
+                    members = sorted({digests[k] for k in part.ravel()})
+                    at = {digest: k for k, digest in enumerate(members)}
+                    tiles.append(members)
+                    found = sorted(sorted((at[digests[k]], at[digests[m]])) for k, m in part)
+                    rows.append(np.array(found, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.list_(pa.binary())), pa.array(rows, pa.binary())], names=["digests", "pairs"])
 
     return run
 
@@ -291,19 +314,37 @@ def _tiles(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return own.unionByName(left.where("not own").join(right, ["node", "class", "part"]).select("left", "right"))
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
+        sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+        keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _confirm_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among the pairs of each tile, whose members come with their full sets."""
+    for batch in batches:
+        u, v = [], []
+        for entries, pairs in zip(batch.column("members"), batch.column("pairs"), strict=True):
+            members = entries.values
+            order = np.argsort(members.field("at").to_numpy())
+            digests, shingles = members.field("digest"), members.field("shingles")
+            sets = [np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in order]
+            for a, b in np.frombuffer(pairs.as_buffer(), np.int32).reshape(-1, 2):
+                if _linked(sets[a], sets[b]):
+                    u.append(digests[int(order[a])].as_py())
+                    v.append(digests[int(order[b])].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+
 def least_agreement(share: float = THRESHOLD / 100) -> float:
     """Agreement of two sketches that sets as alike as ``share`` fall below with a quarter of MISS at most."""
     below = 0.0
@@ -329,20 +370,37 @@ class _Join:
         self.prints = materialize(wide.select("doc_id", "n_shingles", "digest"), "prints")
         discard(wide)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among ``pairs`` (a, b), by the full sets of the documents that occur in them."""
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    def _full_sets(self, wanted: DataFrame) -> DataFrame:
+        """The full sets (digest, shingles) of the ``wanted`` digests, written."""
         wanted_ids = materialize(wanted.join(self.vertices.select("digest", "doc"), "digest"), "wanted")
         few = wanted_ids.count() <= BROADCAST_IDS
         ids, wanted = wanted_ids.select("doc"), wanted_ids.select("digest")
         texts = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         sets = materialize(texts.mapInArrow(_sets, "digest binary, shingles binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+        discard(wanted_ids)
+        return sets
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Links (u, v) among ``pairs`` (a, b), by the full sets of the documents that occur in them."""
+        pairs = materialize(pairs, "pairs")
+        sets = self._full_sets(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
         left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
         rows = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
         links = materialize(rows.mapInArrow(_confirm, "u binary, v binary"), "confirmed")
-        discard(pairs, wanted_ids, sets)
+        discard(pairs, sets)
+        return links
+
+    def confirmed_tiles(self, tiles: DataFrame) -> DataFrame:
+        """Links (u, v) among the pairs of ``tiles`` (digests, pairs). A member's set is joined once per tile, so rows grow with
+        the members of tiles and not with their pairs."""
+        tiles = materialize(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+        entries = tiles.select("tile", F.posexplode("digests").alias("at", "digest"))
+        sets = self._full_sets(entries.select("digest").distinct())
+        members = entries.join(sets, "digest").groupBy("tile").agg(F.collect_list(F.struct("at", "digest", "shingles")).alias("members"))
+        rows = members.join(tiles.select("tile", "pairs"), "tile").select("members", "pairs")
+        links = materialize(rows.mapInArrow(_confirm_tiles, "u binary, v binary").distinct(), "confirmed")
+        discard(tiles, sets)
         return links
 
 
@@ -441,8 +499,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if probed.take(1):
         named = materialize(_contracted(done.select(*_NODE), labels, probed), "contracted")
         done = named.join(_open_nodes(named), "node").select("size", *_NODE)
-    pairs = _tiles(done, sketches).mapInArrow(_suggest(least_agreement()), "a binary, b binary").distinct()
-    more_links = join.confirmed(pairs)
+    # nodes of the same members have the same tiles
+    more_links = join.confirmed_tiles(_tiles(done, sketches).mapInArrow(_suggest(least_agreement(), CONFIRM), _TILE).distinct())
 
     known = labels.select(F.col("digest").alias("u"), F.col("now").alias("v"))  # stands for the links found before
     final = components(known.unionByName(probed).unionByName(more_links)).withColumnRenamed("vertex", "digest")
