@@ -2,12 +2,15 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -277,6 +280,25 @@ def test_near_duplicates_cases(spark):
     assert not near_dedup.near_duplicates(spark.createDataFrame([], schema)).take(1)
 
 
+def test_a_task_holds_the_shingles_and_hits_of_little_text():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i:06d}" for i in range(200_000)])
+    passages = [" ".join(rng.choice(words, 60)) for _ in range(200)]
+    texts = [" ".join([*rng.choice(words, 2000), passages[i % 200], passages[i % 7]]) for i in range(400)]  # 7 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    word_hashes(find_words(pa.array(["tables of powers"])))
+    held = SimpleNamespace(value=decontaminate.Patterns.build(list(range(200)), passages))
+    for step, rows, most in ((near_dedup._prints, 400, 32), (near_dedup._sets, 400, 32), (decontaminate._report(held), None, 128)):
+        tracemalloc.start()
+        found = 0
+        for part in step(iter([batch])):
+            found += part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == rows or rows is None and found >= 400
+        assert peak < most << 20
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 102), (101, 102), (7, 7), (100, 103), (300, 299)]
     df = spark.createDataFrame(links, "u long, v long")

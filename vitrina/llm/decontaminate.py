@@ -27,7 +27,8 @@ SURE = 66 + 11 - 1  # normalised bytes of an item from which an exact copy is al
 EDITS_PER_BYTE = 1 / 15
 LEAST = 24  # items of fewer normalised bytes are matched exactly, as whole words
 PART_BYTES = 2 << 20  # benchmark text that is broadcast at a time
-SLICE = 1 << 18  # q-gram hits counted at a time, and those up to the end of the last one's text
+BATCH_BYTES = 1 << 20  # of text whose q-gram hits are held at once
+SLICE = 1 << 16  # q-gram hits counted at a time, and those up to the end of the last one's text
 _FILTER_BITS = 20
 
 _SPACE = np.ones(256, bool)
@@ -262,7 +263,7 @@ def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _report(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             rows = [
                 (i, item, edits, len(which), first)
                 for i, items in sorted(matches(batch.column("text"), patterns.value).items())
@@ -280,7 +281,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def unmatched(patterns):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, text):
+            for batch in small_batches(batches, text, BATCH_BYTES):
                 keep = np.ones(batch.num_rows, bool)
                 keep[list(matches(batch.column(text), patterns.value))] = False
                 yield batch.filter(pa.array(keep))

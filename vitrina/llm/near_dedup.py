@@ -35,6 +35,7 @@ from vitrina.operators.lookup import lookup_join
 from vitrina.session import discard, materialize
 
 SHINGLE = 5
+BATCH_BYTES = 1 << 20  # of text whose shingles are held at once
 THRESHOLD = 75  # per cent
 POSITIONS = 256  # minwise positions of a sketch, of a byte each
 MISS = 1e-6  # of two sets at the threshold; a quarter each at the roots, in the trees below a node, by their sketches and by a pivot's
@@ -111,7 +112,7 @@ def _minwise(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES):
         sets = shingle_sets(batch.column("text"))
         some = [i for i, s in enumerate(sets) if len(s)]
         digests, roots, sketches = ([None] * len(sets) for _ in range(3))
@@ -126,7 +127,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, most=BATCH_BYTES):
         sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
