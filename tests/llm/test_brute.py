@@ -110,6 +110,19 @@ def close(found, expected):
         assert a[6] == pytest.approx(b[6], rel=1e-4, abs=1e-3)
 
 
+def test_long_runs_of_one_high_part_are_halved(monkeypatch):
+    run = np.arange(7, 5007, 2)
+    values = np.concatenate([run, [1 << 40]])
+    built = EliasFano.build(values, (1 << 40) + 1)
+    calls, low = [], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, i: calls.append(len(i)) or low(self, i))
+    asked = np.arange(5020)
+    found = built.find(asked)
+    assert found.tolist() == [(x - 7) // 2 if x % 2 and 7 <= x < 5007 else -1 for x in range(5020)]
+    assert built.find(np.array([1 << 40])).tolist() == [len(run)]
+    assert len(calls) < 25  # one by one they would be as many as the run has elements
+
+
 @pytest.mark.parametrize(("order", "block"), [(1, 50), (2, 1 << 20), (3, 40), (3, 1 << 20)])
 def test_lm(spark, monkeypatch, order, block):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 60)
