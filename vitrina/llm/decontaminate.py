@@ -139,8 +139,21 @@ def alignment(pattern: bytes, region: bytes, edits: int) -> int | None:
 
 
 def matches(texts: pa.Array, p: Patterns) -> dict[int, dict[int, list[int]]]:
-    """For each text with a match, by item: fewest edits, patterns matched, first byte in the normalised text."""
-    data, starts = normalised(texts)
+    """For each text with a match, by item: fewest edits, patterns matched, first byte in the normalised text.
+
+    Texts are matched BATCH_BYTES at a time; bands are counted from the first byte of all.
+    """
+    out: dict[int, dict[int, list[int]]] = {}
+    rows = before = 0
+    whole = pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], names=["text"])
+    for part in small_batches(iter([whole]), most=BATCH_BYTES):
+        data, starts = normalised(part.column("text"))
+        out |= {rows + i: items for i, items in _match(data, starts, before, p).items()}
+        rows, before = rows + part.num_rows, before + len(data)
+    return out
+
+
+def _match(data: np.ndarray, starts: np.ndarray, before: int, p: Patterns) -> dict[int, dict[int, list[int]]]:
     position, key = [], []
     for begin in range(0, len(data), PIECE):
         codes = grams(data[begin : begin + PIECE + Q - 1])
@@ -164,7 +177,7 @@ def matches(texts: pa.Array, p: Patterns) -> dict[int, dict[int, list[int]]]:
     begin = 0
     while begin < len(key):  # a text is never divided: its hits count together
         upto = int(np.searchsorted(text, text[min(begin + SLICE, len(text)) - 1], "right"))
-        _count_bands(data, starts, position[begin:upto], key[begin:upto], text[begin:upto], p, out)
+        _count_bands(data, starts, before, position[begin:upto], key[begin:upto], text[begin:upto], p, out)
         begin = upto
     if p.brief:
         _whole_words(data, starts, p, out)
@@ -193,14 +206,14 @@ def _whole_words(data, starts, p: Patterns, out: dict) -> None:
                     known[1].add((n, k))
 
 
-def _count_bands(data, starts, position, key, text, p: Patterns, out: dict) -> None:
+def _count_bands(data, starts, before: int, position, key, text, p: Patterns, out: dict) -> None:
     if not len(key):
         return
     n = p.at[key + 1] - p.at[key]
     hit = np.repeat(np.arange(len(key)), n)
     posting = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + p.at[key][hit]
     pattern, offset = p.pattern[posting], p.offset[posting]
-    diagonal = position[hit] - offset
+    diagonal = before + position[hit] - offset
     width = p.edits[pattern] + 1
     lower = np.floor_divide(diagonal, width)
     # each hit counts in two bands of twice the width, so any run of diagonals lies within one
@@ -215,8 +228,8 @@ def _count_bands(data, starts, position, key, text, p: Patterns, out: dict) -> N
     for i in reach:
         d, w = int(doc[i]), int(who[i])
         item, edits = int(p.items[w]), int(p.edits[w])
-        begin = max(int(starts[d]), int(band[i]) * (edits + 1) - edits)
-        end = min(int(starts[d + 1]), (int(band[i]) + 2) * (edits + 1) + len(p.texts[w]) + edits)
+        begin = max(int(starts[d]), int(band[i]) * (edits + 1) - edits - before)
+        end = min(int(starts[d + 1]), (int(band[i]) + 2) * (edits + 1) + len(p.texts[w]) + edits - before)
         found = alignment(p.texts[w], data[begin:end].tobytes(), edits)
         if found is not None:
             known = out.setdefault(d, {}).setdefault(item, [found, set(), begin - int(starts[d])])
@@ -263,7 +276,7 @@ def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _report(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, most=BATCH_BYTES):
+        for batch in small_batches(batches):
             rows = [
                 (i, item, edits, len(which), first)
                 for i, items in sorted(matches(batch.column("text"), patterns.value).items())
@@ -281,7 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def unmatched(patterns):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, text, BATCH_BYTES):
+            for batch in small_batches(batches, text):
                 keep = np.ones(batch.num_rows, bool)
                 keep[list(matches(batch.column(text), patterns.value))] = False
                 yield batch.filter(pa.array(keep))
