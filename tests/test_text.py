@@ -141,3 +141,15 @@ def test_term_runs_count_repeats(spark):
     assert [(t.term, t.tf) for t in rows[0]] == [("a", 2), ("b", 3), ("c", 1)]
     assert rows[1] == []
     assert column(spark, ["a", "a b", "a b c"], gram_size("s")) == [1, 2, 3]
+
+
+def test_ngrams_of_short_null_and_partly_null_rows(spark):
+    rows = [([],), (["a"],), (["a", "b"],), (["a", "b", "c", "d"],), (["a", None, "c"],), ([None, None, "x"],), (None,)]
+    df = spark.createDataFrame(rows, "words array<string>")
+    plan = df.select(ngrams("words", 2))._jdf.queryExecution().analyzed().toString()
+    assert "array_join" not in plan  # a join of a slice per run took twice as long
+    found = [tuple(r) for r in df.select(ngrams("words", 2), ngrams("words", 3)).collect()]
+    assert found == [
+        ([], []), ([], []), (["a b"], []), (["a b", "b c", "c d"], ["a b c", "b c d"]), (["a", "c"], ["a c"]), (["", "x"], ["x"]),
+        ([None], [None]),
+    ]
