@@ -141,6 +141,47 @@ def test_bayes_beyond_broadcast_agrees(words):
     assert small == large
 
 
+@pytest.mark.parametrize("kind", ["bernoulli", "multinomial"])
+def test_weights_beyond_bounds_are_scored_by_some_models_at_a_time(words, kind, monkeypatch):
+    """Many parents, one item without and one with an unknown one: no join gets more cells than may be sent at once."""
+    parent = F.when(F.col("item_id") != 7, F.concat(F.lit("g"), (F.col("item_id") % 9).cast("string")))
+    rows = words.withColumn("up", parent)
+    vocab = materialize(vocabulary(rows, "words", 1000), "vocab")
+    terms = item_terms(rows, "words", vocab, ["cat_0", "up"])
+    model = fit_bayes(terms, [Level("cat_0", "up")], vocab.count(), kind)
+    known = F.when(F.col("item_id") == 9, "none").otherwise(F.col("up"))
+    small = sorted(predict(terms, model, "cat_0", known).collect(), key=str)
+    sent = []
+
+    def joined(facts, table, on, **options):
+        if list(on) == ["model", "index"]:
+            sent.append(table.agg(F.sum(options["size"])).first()[0])
+        return lookup_join(facts, table, on, **options)
+
+    monkeypatch.setattr("vitrina.operators.bayes.lookup_join", joined)
+    large = sorted(predict(terms, model, "cat_0", known, max_cells=1000).collect(), key=str)
+    assert small == large and len(large) == 400
+    assert len(sent) > 3 and max(sent) <= 1000
+
+
+def test_cascade_never_broadcasts_the_rows(words, monkeypatch):
+    """A table with a row per item is small in its files long before it is small on the driver."""
+    vocab = materialize(vocabulary(words, "words", 1000), "vocab")
+    rows = words.withColumn("cat_1", F.concat("cat_0", (F.col("item_id") % 3).cast("string")))
+    terms = item_terms(rows, "words", vocab, ["cat_0", "cat_1"])
+    model = fit_bayes(terms, [Level("cat_0"), Level("cat_1", "cat_0")], vocab.count())
+    plans = []
+
+    def written(df, name, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name, *args)
+
+    monkeypatch.setattr(cl, "materialize", written)
+    assert cl.cascade(terms, model, ("cat_0", "cat_1")).count() == 400
+    assert len(plans) == 2 and not any("BroadcastHashJoin [row_id" in plan for plan in plans)
+    assert "SortMergeJoin [row_id" in plans[1]
+
+
 def test_bayes_prior_of_seven_and_sixty_one(spark):
     rows = [(i, "Celular" if i < 7 else "Fundas", ["celular"] if i < 7 else ["funda"]) for i in range(68)]
     df = spark.createDataFrame(rows, "item_id bigint, cat_0 string, words array<string>")
