@@ -19,6 +19,7 @@ from vitrina.llm.components import components
 from vitrina.llm.eliasfano import EliasFano
 from vitrina.llm.queries import REGISTRY
 from vitrina.llm.words import find_words, word_hashes
+from vitrina.session import materialize
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -138,6 +139,31 @@ def test_lm(spark, monkeypatch, order, block):
     assert not ngram_lm.score_texts(df.limit(0), held, order).take(1)
 
 
+def test_lm_blocks_that_follow_each_other_share_messages(spark, monkeypatch):
+    """With many shards messages are not blocks times shards, and every block still gets its own totals."""
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 9))) for i in range(120)] + [(None, "w0 w1"), (7, "w0 w1 w0 w1"), (92, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for name, value in (("SHARD_TOKENS", 60), ("BLOCK_TOKENS", 40), ("FEW_SHARDS", 2)):
+        monkeypatch.setattr(ngram_lm, name, value, raising=False)
+    tables = {}
+
+    def written(df, name, *args):
+        table = materialize(df, name, *args)
+        tables.setdefault(name, []).append(table)
+        return table
+
+    monkeypatch.setattr(ngram_lm, "materialize", written)
+    held = langid.crc_remainder(df["doc_id"], 5) == 1
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (str(r[0]), r[2], r[5])
+    found = ngram_lm.score_texts(df, held, 3).select(names).collect()
+    close(sorted(map(tuple, found), key=key), sorted(brute_scores(rows, 3, ngram_lm.WEIGHTS), key=key))
+    blocks = tables["lm_blocks"][0].count()
+    for answers in tables["lm_answers"]:
+        sent = answers.where("block >= 0")
+        assert blocks > 10 and sent.count() * 3 < blocks * sent.select("shard").distinct().count()
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
     rows = REGISTRY["op5_lm"](spark, sf_dir).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
