@@ -98,6 +98,33 @@ def test_several_blocks_leave_no_states_behind(spark, monkeypatch, alone):
     assert left and not [name for name in left if name.split("-")[0] in ("step", "begin", "packed", "blocks")]
 
 
+def test_steps_write_no_states(spark, monkeypatch):
+    """Models of several blocks take turns on the driver within the bound, larger ones keep their states in tables; all fits are equal."""
+    df = spark.createDataFrame(items(5, SIZES), SCHEMA)
+    one = fit_logistic(df, [Level("down", "up")], 15)
+    names, files, full = [], [], logistic.materialize
+
+    def written(df, name, *args):
+        names.append(name)
+        found = full(df, name, *args)
+        if name == "packed":
+            files.append((len(found.inputFiles()), found.count()))
+        return found
+
+    monkeypatch.setattr(logistic, "materialize", written)
+    for name, value in (("ALONE", 1), ("SLICE", 7)):
+        monkeypatch.setattr(logistic, name, value, raising=False)
+    for bound, steps in ((100_000, False), (130, False), (100, True)):  # models of 124, 93 and 31 weights: all, some at a time, not the largest
+        names.clear()
+        monkeypatch.setattr(logistic, "DRIVER_WEIGHTS", bound, raising=False)
+        many = fit_logistic(df, [Level("down", "up")], 15, block_cells=250)
+        assert ("step" in names) == steps and "ended" in names
+        for parent in SIZES:
+            if parent != "one":
+                np.testing.assert_allclose(table(one, parent)[1], table(many, parent)[1], atol=1e-6)
+    assert files[0][0] > 8 and files[0][1] > 12  # blocks are not merged into a few files by their bytes
+
+
 def test_linear_tables_score_like_the_weights(spark):
     rows = items(7, SIZES) + [(9001, "hot", None, [(1, 1)]), (9002, None, "x", [(1, 1)]), (9003, "new", None, [(1, 1)]), (None, "hot", "hot/0", []), (None, "hot", "hot/1", [])]
     df = spark.createDataFrame(rows, SCHEMA)
